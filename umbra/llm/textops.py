@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE = 1 << 20
+SLICE = 1 << 17
+_WINDOW = 1 << 18
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTE.copy()
@@ -19,16 +21,16 @@ _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POW_BITS = 12
+_BASE = 0xD6E8FEB86659FD93
 
 
 def _powers(step: int) -> np.ndarray:
-    p = np.full(1 << _POW_BITS, step, np.uint64)
+    p = np.full(_WINDOW + 1, step, np.uint64)
     p[0] = 1
     return np.cumprod(p, dtype=np.uint64)
 
 
-_LOW = _powers(0xD6E8FEB86659FD93)
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 _MUL = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,31 +69,40 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_span(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    n = ends - starts
-    first = np.cumsum(n) - n
-    at = np.arange(int(n.sum()), dtype=np.int64)
-    pos = at - np.repeat(first, n)
-    values = table[buf[at + np.repeat(starts - first, n)]]
-    low = _LOW[pos & ((1 << _POW_BITS) - 1)]
-    if n.max(initial=0) > 1 << _POW_BITS:
-        low = low * mix((pos >> _POW_BITS).astype(np.uint64) + _STEP) | np.uint64(1)
-    return mix(np.add.reduceat(values * low, first) + n.astype(np.uint64) * _STEP)
+    """Polynomial hashes from prefix sums modulo 2**64, shifted back to each word's start."""
+    base = int(starts[0])
+    if int(ends[-1]) - base > _WINDOW:  # one word longer than the window
+        word = buf[base : int(ends[-1])].tobytes()
+        return np.array([xxhash.xxh3_64_intdigest(word.lower() if table is _FOLDED else word)], np.uint64)
+    part = buf[base : int(ends[-1])]
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(table[part] * _UP[: len(part)], out=sums[1:])
+    at, to = starts - base, ends - base
+    return mix((sums[to] - sums[at]) * _DOWN[at] + (to - at).astype(np.uint64) * _STEP)
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, with A-Z lower-cased if `fold`."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    table = _FOLDED if fold else _BYTE
-    out, i = [], 0
-    cum = np.cumsum(ends - starts)
+    table, out, i = _FOLDED if fold else _BYTE, [], 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(cum, (cum[i - 1] if i else 0) + SLICE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _WINDOW, "right")))
         out.append(_hash_span(buf, starts[i:j], ends[i:j], table))
         i = j
     return np.concatenate(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    if len(x) > 1:
+        first = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=first[1:])
+        x = x[first]
+    return x
+
+
 def words_of(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and the bounds of each text's words (len(texts) + 1)."""
     buf = np.frombuffer(b" ".join(texts), np.uint8)
@@ -110,7 +121,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         rolled = mix(rolled)
         for lo, hi in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
             if hi - lo >= k:
-                yield np.unique(rolled[lo : hi - k + 1])
+                yield distinct(rolled[lo : hi - k + 1])
             elif hi > lo:
                 short = (words[lo:hi] * _MUL[8 : 8 + hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
                 yield mix(np.array([short], np.uint64))
