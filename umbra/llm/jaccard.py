@@ -11,9 +11,10 @@ The order puts rare shingles first. Frequencies come from one fixed-size countin
 collisions change only the order's quality, never the result. Common passages so fall out of the prefixes.
 
 Equal sets are joined by a fingerprint first; each class is represented by its smallest doc_id. In each list every
-member is compared with the list's smallest doc_id; then members which that left in different components are compared
-with each other, the largest component of a list on one side only. No pair that could join two components is left
-out, and a group of n near copies costs about n comparisons, not n**2. Comparison is exact, on whole sets.
+member is compared with the list's hub, the set with the fewest rarer shingles; then members which that left in
+different components are compared with each other, the largest component of a list on one side only. No pair that
+could join two components is left out, and n near copies of one text cost about n comparisons, not n**2. Comparison is
+exact, on whole sets.
 
 Defined cases: text null, empty or only white space: an empty set, linked with nothing. Fewer than k words: the whole
 sequence is one shingle. Rows that share a doc_id are one node. A null doc_id: the row takes part in no link and has a
@@ -23,18 +24,18 @@ null component. An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.graph import components, maybe_in, membership
 from umbra.llm.runtime import Scratch, cut
-from umbra.llm.textops import distinct, mix, shingle_sets, texts_of
+from umbra.llm.textops import mix, shingle_sets, texts_of
 
 SKETCH_BITS = 22
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -92,7 +93,7 @@ def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
             for s in shingle_sets(texts_of(batch.column(1)), k):
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                if len(s) > 5:  # smaller sets have no partner but equal ones
+                if len(s) * (100 - percent) >= percent:  # smaller sets have no partner but equal ones
                     take = min(len(s), len(s) - least_overlap(len(s), percent) + 2)
                     own = rank[(s >> shift).astype(np.int64)]
                     first = s[np.lexsort((s, own))[:take]]
@@ -116,8 +117,8 @@ def boundary(classes: DataFrame, percent: int) -> int:
     # a histogram by quarter octaves of the size: at most a few hundred rows
     rows = classes.groupBy(step.alias("step")).agg(F.max("n").alias("top"), F.count("*").alias("sets"), F.sum("scan").alias("scan"), F.sum("n").alias("n")).collect()
     rows.sort(key=lambda r: r.step)
-    best, cost = 5, math.inf
-    for b in [5, *(r.top for r in rows)]:
+    best, cost = 0, math.inf
+    for b in [0, *(r.top for r in rows)]:
         light = sum(r.sets * math.comb(p, 2) for r in rows if r.top <= b for p in [round(r.n / r.sets) - least_overlap(round(r.n / r.sets), percent) + 2])
         heavy = sum(r.scan for r in rows if r.top >= percent * (b + 1) / 100)
         if light + heavy < cost:
@@ -126,9 +127,13 @@ def boundary(classes: DataFrame, percent: int) -> int:
 
 
 def _postings(classes: DataFrame, percent: int, light: int) -> DataFrame:
-    """(key, node, n, pos): subsets of light prefixes and single shingles of heavy ones and of those just below."""
+    """(key, node, size_pos): subsets of light prefixes and single shingles of heavy ones and of those just below.
+
+    size_pos holds the size and the shingle's place in the order; of a subset, one less than its second one's place,
+    so that one formula bounds what the two sets can still share.
+    """
     band = -(-percent * (light + 1) // 100)
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size_pos", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +143,10 @@ def _postings(classes: DataFrame, percent: int, light: int) -> DataFrame:
                 if n <= light:
                     i, j = np.triu_indices(len(s), 1)
                     lo, hi = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-                    out.append((distinct(mix(lo * _SALT + hi)), node, n, None))
+                    out.append((mix(lo * _SALT + hi), node, n, j - 1))
                 if n >= band:
                     own = s[:-1] if len(s) > 1 else s
-                    out.append((own, node, n, np.arange(len(own), dtype=np.int32)))
+                    out.append((own, node, n, np.arange(len(own))))
                 size += len(out[-1][0])
                 if size > 1 << 18:
                     yield _flat(out, schema)
@@ -149,22 +154,21 @@ def _postings(classes: DataFrame, percent: int, light: int) -> DataFrame:
             if out:
                 yield _flat(out, schema)
 
-    return classes.select("node", "n", "prefix").mapInArrow(run, "key bigint, node bigint, n int, pos int")
+    return classes.select("node", "n", "prefix").mapInArrow(run, "key bigint, node bigint, size_pos bigint")
 
 
 def _flat(parts: list, schema: pa.Schema) -> pa.RecordBatch:
     size = np.array([len(p[0]) for p in parts])
     keys = np.concatenate([p[0] for p in parts]).view(np.int64)
     node, n = (np.repeat(np.array([p[i] for p in parts], np.int64), size) for i in (1, 2))
-    pos = np.concatenate([np.full(len(p[0]), -1, np.int32) if p[3] is None else p[3] for p in parts])
-    return pa.record_batch([pa.array(keys), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos)], schema=schema)
+    return pa.record_batch([pa.array(keys), pa.array(node), pa.array(n << 32 | np.concatenate([p[3] for p in parts]))], schema=schema)
 
 
 def _possible(percent: int, n: str, pos: str, m: str, at: str):
-    """Sizes allow a link, and so does what follows the pair's first common shingle in both prefixes."""
+    """Sizes allow a link, and so does what follows the pair's first common shingle (or two) in both prefixes."""
     need = F.expr(f"({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent}")
     left = F.expr(f"1 + least({n} - {pos} - 1, {m} - {at} - 1)")
-    return F.expr(f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})") & (F.expr(f"{pos} < 0 or {at} < 0") | (left >= need))
+    return F.expr(f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})") & (left >= need)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,6 +204,8 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable over links of `percent` or more."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50: below, partners may share less than two shingles of their prefixes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -212,13 +218,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     wide = groups.where("prefix is not null")
     postings = _postings(wide, percent, boundary(wide, percent))
-    first = F.min(F.struct("node", "n", "pos"))
-    multi = postings.groupBy("key").agg(first.alias("hub"), F.max("node").alias("last")).where("hub.node < last")
-    lists = scratch.table(postings.join(multi.select("key", "hub"), "key"), "lists")
+    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    lists = postings.join(multi.select("key"), "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
+    lists = scratch.table(lists, "shared")
+    hubs = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
+    lists = scratch.table(lists.join(hubs, "key"), "lists")
     star = (
-        lists.where(F.col("hub.node") < F.col("node"))
+        lists.where(F.col("hub.node") != F.col("node"))
         .where(_possible(percent, "n", "pos", "hub.n", "hub.pos"))
-        .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
     )
     star = scratch.table(star, "star")
     shingles = scratch.table(_whole_sets(docs, star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), "star_sets")
