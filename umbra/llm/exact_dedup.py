@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from umbra.llm.graph import maybe_in, membership
 from umbra.llm.runtime import Scratch, cut
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many small stores
+}
 
 
 def normalised(text: Column) -> Column:
@@ -42,8 +44,9 @@ def keyed_state(digests: DataFrame) -> DataFrame:
 
 def run_stream(spark: SparkSession, source: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs the stateful query over all that the streaming source holds; the newest state of each digest."""
-    held = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    held = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         def keep(batch: DataFrame, number: int) -> None:
             batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{scratch.path}/state/n{number}")
@@ -55,10 +58,8 @@ def run_stream(spark: SparkSession, source: DataFrame, scratch: Scratch) -> Data
         )
         running.awaitTermination()
     finally:
-        if held is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, held)
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
     updates = spark.read.schema(schema).parquet(f"{scratch.path}/state/*")
     return updates.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("x")).select("digest", "x.*")
