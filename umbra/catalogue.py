@@ -1,4 +1,6 @@
 """All registered queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLE = {}
+from umbra.queries import addresses, names, reports, rules, structure  # noqa: F401
+from umbra.queries.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

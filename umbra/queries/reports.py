@@ -1,0 +1,126 @@
+"""Vendor detection, survivor checks, reports and the policy table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from umbra.operators import corpus, lines, reports
+from umbra.plans import rulebook as book
+from umbra.plans.policy import Policy
+from umbra.queries.base import SALT, concat, register, table
+
+BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+DUCK_LINES = f"ls AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{BREAKS}')) AS line FROM documents)"
+K = {"k": "c_custkey"}
+VENDOR_TEXT = {
+    "juniper": "system {\n  host-name r{k};\n}\n## Last changed: now\n", "arista": "! device: sw{k} (DCS, EOS-4.32.1F)\nhostname sw{k}\n", "mikrotik": "# by RouterOS 7.1\n/ip address\nadd address=10.0.0.1\n",
+    "fortinet": "#config-version=FGVM64-7.4.4:opmode=0\nconfig system global\n", "huawei": "[MA5800V100R020]\n ont add 0 1 sn-auth \"A{k}\"\n", "cisco": "Building configuration\nhostname c{k}\nip cef\n", "unknown": "plain words {k}\n",
+}
+VENDOR_CASE = "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN {{}}".format(f"'{v}'") for i, v in enumerate(VENDOR_TEXT)) + " END"
+
+
+@register("vendor_detect", f"SELECT c_custkey, {VENDOR_CASE} AS vendor FROM customer")
+def vendor_detect(spark, sf_dir):
+    text = "CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN {concat(t, K, True)}" for i, t in enumerate(VENDOR_TEXT.values())) + " END"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+    return rows.select("c_custkey", reports.vendor(F.col("text")).alias("vendor"))
+
+
+@register("vendor_corpus", "SELECT 'unknown' AS vendor, count(*) AS n FROM documents")
+def vendor_corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(reports.vendor(F.col("text")).alias("vendor")).agg(F.count("*").alias("n"))
+
+
+def _runs(name: str, word: str, shape: str, pattern: str) -> None:
+    @register(name, rf"WITH {DUCK_LINES}, t AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '{word}'), lambda x: regexp_full_match(x, '{shape}'))) AS k FROM ls) SELECT doc_id, count(*) AS lines FROM t WHERE k > 0 GROUP BY doc_id")
+    def run(spark, sf_dir):
+        rows = lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id")
+        return rows.where(F.col("line").rlike("(?U)" + pattern)).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+PATTERN = {n: p for n, p, _ in book.CHECKS}
+_runs("verify_hex_run", r"[^\p{L}\p{N}_.]+", "[0-9A-Fa-f]{24,}", PATTERN["long-hex-left"])
+_runs("verify_base64_run", r"[^\p{L}\p{N}_+/=]+", "[A-Za-z0-9+/]{40,}={0,2}", PATTERN["long-base64-left"])
+
+SURVIVORS = [
+    ("password hunter{k}", "credential-left"), ("password <REMOVED>", ""), ('password ""', ""), ("secret {m}", "crypt-hash-left,credential-left"), ("key $9$ab{k}", "junos-type9-left"),
+    ("neighbor x password 7 0A1B2C3D", "type7-left,credential-left"), ("no service password-encryption", ""), ("terminal user name root pw *x{k}", "huawei-cipher-left"), ("community {k}:12 members", ""),
+]
+
+
+@register("verify_line_checks", " UNION ALL ".join(f"SELECT c_custkey, {i} AS kind, {quoted!r} AS checks FROM customer" for i, (_, quoted) in enumerate(SURVIVORS)))
+def verify_line_checks(spark, sf_dir):
+    values = K | {"m": "concat('$6$x', c_custkey)"}
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.expr(concat(t, values, True)).alias("line")) for i, (t, _) in enumerate(SURVIVORS)]))
+    return table(spark, sf_dir, "customer").select("c_custkey", rows.alias("x")).select("c_custkey", "x.kind", F.array_join(reports.line_checks(F.col("x.line")), ",").alias("checks"))
+
+
+def folded(spark, sf_dir, template: str, policy: dict):
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(concat(template, K, True)).alias("text"))
+    return corpus.sanitise(docs, Policy(policy), SALT)
+
+
+@register("verify_kept_secret_still_fails", "SELECT c_custkey, 1 AS line, 'credential-left' AS \"check\", concat('enable secret S', c_custkey) AS text FROM customer")
+def verify_kept_secret_still_fails(spark, sf_dir):
+    return corpus.findings(folded(spark, sf_dir, "enable secret S{k}\n", {"secrets": {"enable-secret": "keep"}}), "c_custkey")
+
+
+@register("verify_shape_blind", "SELECT c_custkey, 2 AS line, 'long-hex-left' AS \"check\", concat('x ', lpad(CAST(c_custkey AS VARCHAR), 32, '0')) AS text FROM customer")
+def verify_shape_blind(spark, sf_dir):
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('checksum sha-256 ', lpad(cast(c_custkey as string), 32, '0'), '\\nx ', lpad(cast(c_custkey as string), 32, '0'), '\\n')").alias("text"))
+    return corpus.findings(corpus.sanitise(docs, Policy(), SALT), "c_custkey")
+
+
+SECRETS = "".join(f"enable secret S{{k}}{i}\n" for i in range(7)) + "password p{k}\nhostname h{k}\n"
+
+
+@register("findings_top5", "SELECT c_custkey, line, 'credential-left' AS \"check\", concat('enable secret S', c_custkey, line - 1) AS text, line AS rank, 2 AS more FROM customer, (SELECT unnest(range(1, 6))::INTEGER AS line) t")
+def findings_top5(spark, sf_dir):
+    found = corpus.findings(folded(spark, sf_dir, SECRETS.replace("password p{k}\n", ""), {"secrets": {"default": "keep"}}), "c_custkey")
+    return reports.top_findings(found, "c_custkey").withColumn("more", F.col("more").cast("int"))
+
+
+@register("counts_by_family_rollup", """SELECT family, rule, hits FROM (SELECT 'secrets' AS family, 'enable-secret' AS rule, 7 * count(*) AS hits FROM customer UNION ALL SELECT 'secrets', 'bare-password', count(*) FROM customer
+ UNION ALL SELECT 'secrets', NULL, 8 * count(*) FROM customer UNION ALL SELECT 'hostnames', 'hostnames', count(*) FROM customer UNION ALL SELECT 'hostnames', NULL, count(*) FROM customer UNION ALL SELECT NULL, NULL, 9 * count(*) FROM customer) t""")
+def counts_by_family_rollup(spark, sf_dir):
+    return reports.by_family(corpus.hits(folded(spark, sf_dir, SECRETS, {"policy": {"hostnames": "redact"}}), "c_custkey"))
+
+
+@register("kept_distinct", "SELECT 'hostname' AS category, count(*) AS distinct_values FROM customer UNION ALL SELECT 'ipv4.rfc1918', count(DISTINCT c_custkey % 50) FROM customer")
+def kept_distinct(spark, sf_dir):
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(concat("hostname h{k}\nip address 10.0.0.{m} 255.0.0.0\n", K | {"m": "c_custkey % 50"}, True)).alias("text"))
+    kept = corpus.sanitise(docs, Policy(), SALT).select(F.explode("kept").alias("category", "values")).select("category", F.explode("values").alias("value"))
+    return kept.groupBy("category").agg(F.countDistinct("value").alias("distinct_values"))
+
+
+@register("redactions_total", "SELECT c_custkey, CAST(8 AS BIGINT) AS redactions FROM customer")
+def redactions_total(spark, sf_dir):
+    return reports.redactions(corpus.hits(folded(spark, sf_dir, SECRETS, {"policy": {"hostnames": "redact"}}), "c_custkey"), "c_custkey")
+
+
+@register("mapping_relation", "SELECT c_custkey, 'v4net' AS kind, concat('10.', c_custkey % 256, '.3.0') AS original, 0 AS alloc_order FROM customer")
+def mapping_relation(spark, sf_dir):
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(concat("ip address 10.{m}.3.7 255.0.0.0\n", {"m": "c_custkey % 256"}, True)).alias("text"))
+    return corpus.mapping(corpus.sanitise(docs, Policy({"ipv4": {"default": "pseudo"}}), SALT), "c_custkey").drop("pseudonym")
+
+
+@register("policy_matrix", " UNION ALL ".join(
+    f"SELECT '{f}' AS section, '{r}' AS selector, '{'hash' if r == 'serial-number' else 'redact' if f == 'secrets' else 'keep'}' AS action" for r, f in sorted(book.RULE_FAMILY.items())))
+def policy_matrix(spark, sf_dir):
+    return reports.policy_table(spark, Policy({"identity": {"serial-number": "hash"}})).where(F.col("section").isin(*book.RULE_FAMILIES))
+
+
+@register("skip_reasons", "SELECT reason, n FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'dotfile' WHEN 1 THEN 'binary' WHEN 2 THEN 'pem' END AS reason, count(*) AS n FROM customer GROUP BY 1) t WHERE reason IS NOT NULL")
+def skip_reasons(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 4 WHEN 0 THEN concat('.f', c_custkey) ELSE concat('f', c_custkey) END AS name",
+        "CASE c_custkey % 4 WHEN 1 THEN concat(encode('ab', 'UTF-8'), X'00') WHEN 2 THEN encode(concat('\\n-----BEGIN KEY', c_custkey), 'UTF-8') ELSE encode('hostname x', 'UTF-8') END AS content")
+    return reports.skip_tally(rows.withColumn("reason", reports.skip_reason(F.col("name"), F.col("content"))))
+
+
+@register("sanitise_documents")
+def sanitise_documents(spark, sf_dir):
+    """The whole engine over the documents: lines, hits and findings of each."""
+    policy = Policy({"policy": dict.fromkeys(book.NAME_FAMILIES, "hash"), "ipv4": {"default": "pseudo"}, "ipv6": {"default": "redact"}, "macs": {"oui": "redact", "nic": "pseudo"}})
+    out = corpus.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), policy, SALT)
+    return out.select("doc_id", "vendor", F.size("lines").alias("lines"), F.size("hits").alias("hits"), F.size("findings").alias("findings"), F.size("mapping").alias("mapped"))
