@@ -83,8 +83,9 @@ def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     # full bytes on hits: each text of a shared digest must equal, as a whole, the text at the locator that the state keeps
     shared = state.where("group_size > 1").select("digest", F.col("first.doc_id").alias("keep_id"))
     near = maybe_in(texts.withColumn("digest", digest(F.col("norm"))), F.col("digest"), membership(shared, "digest"))
-    keepers = near.join(shared, (near.digest == shared.digest) & near.doc_id.eqNullSafe(shared.keep_id), "left_semi").select("digest", "norm")
-    hits = near.join(shared.select("digest"), "digest", "left_semi")
+    # inner joins, as the planner would move a semi join of the unique digests below the bitmap, and shuffle all texts
+    hits = near.join(shared, "digest")
+    keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "norm")
     differ = cut(hits.join(keepers, ["digest", "norm"], "left_anti").select("digest").distinct())
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
