@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from umbra.operators import corpus, reports
+from umbra.operators import corpus, identities, reports
 from umbra.plans.policy import Policy
 from umbra.queries.base import SALT, concat, duck_tag, register, table
 from umbra.queries.cases import case
@@ -79,3 +79,26 @@ def op_dangling_references(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("RM"), "l_partkey").alias("name"), "l_partkey")
     declared = lines.where("l_partkey % 5 = doc % 5").select("doc", F.lower("name").alias("name")).distinct()
     return reports.dangling(declared, lines, "doc").groupBy("doc", "name").agg(F.count("*").alias("n"))
+
+
+@register("identity_native", """SELECT c_custkey, 'hostnames' AS family, concat('Edge', c_custkey) AS value, 1 AS first_line FROM customer
+UNION ALL SELECT c_custkey, 'usernames', concat('op', c_custkey), 3 FROM customer UNION ALL SELECT c_custkey, 'emails', concat('op', c_custkey, '@m', c_custkey % 7, '.test'), 4 FROM customer
+UNION ALL SELECT c_custkey, 'domains', concat('m', c_custkey % 7, '.test'), 4 FROM customer""")
+def identity_native(spark, sf_dir):
+    text = concat("hostname Edge{k}\nhostname EDGE{k}\nusername op{k}\ncontact op{k}@m{m}.test\nip domain-name M{m}.test\n", {"k": "c_custkey", "m": "c_custkey % 7"}, True)
+    return identities.declared(table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text")), "c_custkey")
+
+
+@register("fleet_networks", "SELECT concat('10.', c_custkey // 256, '.', c_custkey % 256, '.0') AS original FROM customer")
+def fleet_networks(spark, sf_dir):
+    text = F.expr("concat('ip route 10.', c_custkey div 256, '.', c_custkey % 256, '.9 255.255.255.0')")
+    return identities.fleet_networks(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), SALT, "c_custkey").select("original")
+
+
+@register("sql_table_function", "SELECT c_custkey, 1 AS line_no, 'enable secret <REMOVED>' AS line FROM customer")
+def sql_table_function(spark, sf_dir):
+    from umbra.functions.table import register as register_functions
+
+    register_functions(spark, Policy(), SALT)
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('enable secret S', c_custkey)").alias("text"))
+    return spark.sql("SELECT c_custkey, f.line_no, f.line FROM {docs}, LATERAL sanitised_lines(text) f", docs=docs)
