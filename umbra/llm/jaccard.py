@@ -46,8 +46,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Rank classes by the number of documents of each sketch slot, counted over all documents."""
+def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """Rank classes by the number of documents of each slot, over all documents; and what a rare shingle's slot holds."""
     slots, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     parts = parts.repartition(8).mapInArrow(merge, "counts binary").coalesce(1).mapInArrow(merge, "counts binary")
     rows = parts.collect()  # one row of at most 4 bytes a slot
     total = np.frombuffer(zlib.decompress(rows[0][0]), np.uint32) if rows else np.zeros(slots, np.uint32)
-    return np.minimum(255, np.round(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+    mean = float(total.sum(dtype=np.float64)) / slots
+    return np.minimum(255, np.round(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8), mean + 3 * math.sqrt(mean)
 
 
 def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
@@ -86,8 +87,7 @@ def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = classes.value
-        common = int(np.bincount(rank, minlength=256).argmax()) if len(rank) else 0
+        rank, noise = classes.value
         for batch in batches:
             ids, n, fp, prefix, scan = batch.column(0), [], [], [], []
             for s in shingle_sets(texts_of(batch.column(1)), k):
@@ -98,8 +98,8 @@ def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
                     own = rank[(s >> shift).astype(np.int64)]
                     first = s[np.lexsort((s, own))[:take]]
                     prefix.append(first.tobytes())
-                    above = np.maximum(0, own[:take].astype(np.float64) - common)
-                    scan.append(float((2.0 ** (above / 8)).sum()))
+                    held = 2.0 ** (rank[(first >> shift).astype(np.int64)] / 8)
+                    scan.append(float(np.maximum(1.0, held - noise).sum()))
                 else:
                     prefix.append(None)
                     scan.append(0.0)
@@ -218,8 +218,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     wide = groups.where("prefix is not null")
     postings = _postings(wide, percent, boundary(wide, percent))
-    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    lists = postings.join(multi.select("key"), "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
+    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    multi = scratch.table(multi, "multi")
+    near = maybe_in(postings, F.col("key"), membership(multi, "key"))  # most keys have one set: they needn't be shuffled again
+    lists = near.join(multi, "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
     lists = scratch.table(lists, "shared")
     hubs = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
     lists = scratch.table(lists.join(hubs, "key"), "lists")
