@@ -1,4 +1,4 @@
-"""Sanitising a corpus: documents in, the relations of SURVEY-style results out.
+"""Sanitising a corpus: documents in, relations of lines, hits, findings, identities and mappings out.
 
 A document is the unit of work: each is folded by itself inside Arrow batches, so nothing is shuffled and a lost task
 repeats to the same rows (the salt is given). The folded rows hold all relations nested; the functions below unfold

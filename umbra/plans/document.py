@@ -23,9 +23,7 @@ _SCOPED = [(f, set(s), re.compile(p, re.I)) for f, s, p in book.SCOPED_COLLECTOR
 _SECTIONED = [(f, set(s), re.compile(p, re.I)) for f, s, p in book.SECTION_COLLECTORS]
 IPV4, IPV6, MAC, BARE_MAC, EMAIL = re.compile(book.IPV4), re.compile(book.IPV6), re.compile(book.MAC), re.compile(book.BARE_MAC, re.I), re.compile(book.EMAIL)
 _LABEL = {
-    "ipv4": re.compile(r"(?<![A-Za-z0-9.])((?:\d{1,3}\.){3}\d{1,3})(?!(?:[A-Za-z0-9]|\.\d))"),
-    "ipv6": re.compile(book.IPV6.replace(r"(?<![\w:.])", r"(?<![A-Za-z0-9:.])").replace(r"(?![\w:.])", r"(?![A-Za-z0-9:.])")),
-    "macs": re.compile(book.MAC.replace(r"(?<![\w.:-])", r"(?<![A-Za-z0-9:-])").replace(r"(?![\w.:-])", r"(?![A-Za-z0-9:-])")),
+    "ipv4": re.compile(book.LABEL_IPV4), "ipv6": re.compile(book.LABEL_IPV6), "macs": re.compile(book.LABEL_MAC),
 }
 _STEPS = [(kind, how, re.compile(p, 0 if how == "block" else re.I), (*more, None)[0]) for kind, how, p, *more in book.OPERATIONAL_STEPS]
 _PARENTS = [(kind, re.compile(p, re.I)) for kind, p in book.TERM_PARENTS]
@@ -360,7 +358,7 @@ class Sanitiser:
         self.log = []
         emails = sorted((v for f, v, _ in self.out.identities if f == "emails"), key=len, reverse=True)
         for v in emails:
-            text = re.sub(rf"(?<![\w.!#$%&'*+/=?^_`{{|}}~-]){re.escape(v)}(?![\w.-])", self._name("emails"), text, flags=re.I)
+            text = re.sub(f"{book.LABEL_BEFORE_EMAIL}{re.escape(v)}{book.LABEL_AFTER_EMAIL}", self._name("emails"), text, flags=re.I)
         text = _LABEL["macs"].sub(lambda m: self._mac(m[1]), text)
         for family in ("ipv6", "ipv4"):
             text = _LABEL[family].sub(self._address(family), text)

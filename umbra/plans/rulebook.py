@@ -181,6 +181,11 @@ IPV6 = (
 MAC = rf"(?<![\w.:-])({_H}{{4}}\.{_H}{{4}}\.{_H}{{4}}|{_H}{{4}}(?:-{_H}{{4}}){{2}}|(?:{_H}{{2}}:){{5}}{_H}{{2}}|(?:{_H}{{2}}-){{5}}{_H}{{2}})(?![\w.:-])"
 BARE_MAC = rf"(\b(?:mac-address|mac\s+address|hardware-address)\s+)({_H}{{12}})(?!{_H})"
 EMAIL = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
+#: the same in file names and titles, where _ and - separate words
+LABEL_IPV4 = r"(?<![A-Za-z0-9.])((?:\d{1,3}\.){3}\d{1,3})(?!(?:[A-Za-z0-9]|\.\d))"
+LABEL_IPV6 = IPV6.replace(r"(?<![\w:.])", r"(?<![A-Za-z0-9:.])").replace(r"(?![\w:.])", r"(?![A-Za-z0-9:.])")
+LABEL_MAC = MAC.replace(r"(?<![\w.:-])", r"(?<![A-Za-z0-9:-])").replace(r"(?![\w.:-])", r"(?![A-Za-z0-9:-])")
+LABEL_BEFORE_EMAIL, LABEL_AFTER_EMAIL = r"(?<![\w.!#$%&'*+/=?^_`{|}~-])", r"(?![\w.-])"
 
 #: family, pattern; a value's surrounding quotes and semicolons are dropped, a domain list is split at commas and spaces
 COLLECTORS = [
