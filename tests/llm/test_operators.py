@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm import attribution, langid, mixing, sharding, topk, warc
 from umbra.llm.exact_dedup import dedup, duplicates_dropped
+from umbra.llm.graph import components
 from umbra.llm.jaccard import jaccard_components, least_overlap, near_duplicates_dropped
 from umbra.llm.linear import dual_coordinate_descent, margins
 from umbra.llm.packing import dot_product_bins, pack_documents, pack_turns
@@ -172,6 +173,13 @@ def test_jaccard_odd(odd):
     assert jaccard_components(odd.where("1 = 0")).count() == 0
 
 
+def test_long_chain_in_random_order_is_one_component(spark):
+    ids = [int(x) for x in np.random.default_rng(0).permutation(500)]
+    edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)) + [(1000, 1002), (1002, 1001)], "a bigint, b bigint").coalesce(1).localCheckpoint()
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(ids, 0), **dict.fromkeys((1000, 1001, 1002), 1000)}
+
+
 # ---- 4
 def check_packing(rows, texts, most=4096):
     coder = WordBpe(VOCABULARY).exact

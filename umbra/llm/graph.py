@@ -34,11 +34,13 @@ def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     return joined.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("bitmap_at", "bitmap_bucket", "bitmap")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is the smallest node of its component.
 
-    Hook to the smallest neighbouring label, then follow the label's own label, until nothing changes. Aggregations
-    combine before they shuffle, so a hub's edges never meet in one task. `edges` is read each round: pass a table.
+    Each round hooks a node, and the node that its label names, to the smallest label next to it, and then follows each
+    label's own label, until nothing changes. As roots are hooked too, whole trees merge in a round: the rounds grow with
+    the logarithm of a chain's length, in whatever order its nodes stand. Aggregations combine before they shuffle, so a
+    hub's edges never meet in one task. `edges` is read each round: pass a table.
     """
     spark: SparkSession = edges.sparkSession
     both = edges.select(F.col("a"), F.col("b")).union(edges.select(F.col("b"), F.col("a"))).distinct()
@@ -46,13 +48,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     if both.isEmpty():
         return spark.createDataFrame([], "node bigint, label bigint")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(most):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = (
-            labels.join(near, labels.node == near.a, "left")
+        less = labels.join(near, labels.node == near.a).where("near < label")
+        hooks = less.select(F.explode(F.array("node", "label")).alias("hook"), "near").groupBy("hook").agg(F.min("near").alias("near"))
+        hooked = cut(
+            labels.join(hooks, labels.node == hooks.hook, "left")
             .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         )
-        up = labels.select(F.col("node").alias("up_node"), F.col("label").alias("up"))
+        up = hooked.select(F.col("node").alias("up_node"), F.col("label").alias("up"))
         moved = cut(
             hooked.join(up, F.col("label") == F.col("up_node"), "left")
             .select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
@@ -61,4 +65,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = moved.select("node", "label")
         if done:
             return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
