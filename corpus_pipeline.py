@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts."""
+    """Keeps one row of equal texts, that of the smallest doc_id."""
     return exact_dedup.duplicates_dropped(docs)
 
 

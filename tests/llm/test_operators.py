@@ -260,6 +260,17 @@ def test_dedup_odd(odd):
     assert duplicates_dropped(odd).columns == odd.columns
 
 
+def test_duplicates_dropped_keeps_what_dedup_keeps(odd, spark):
+    more = spark.createDataFrame([(2, "the other text of doc_id 2"), (None, "twice without id"), (None, "twice  without id")], "doc_id bigint, text string")
+    rows = odd.select("doc_id", "text").union(more)
+    got = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in duplicates_dropped(rows).collect()]
+    want = {}
+    for r in rows.collect():
+        want.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), []).append(r.doc_id)
+    assert sorted(got, key=str) == sorted(((min((d for d in ids if d is not None), default=None), t) for t, ids in want.items()), key=str)
+    assert sum(r.kept for r in dedup(rows).collect()) == len(got)
+
+
 def test_texts_that_share_a_digest_are_told_apart(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "xyz")], "doc_id bigint, text string")
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup(rows, digest=lambda c: F.length(c).cast("string")).collect()}

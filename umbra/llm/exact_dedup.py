@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm.graph import maybe_in, membership
-from umbra.llm.runtime import Scratch, cut
+from umbra.llm.runtime import PLACE, Scratch, cut
 
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -65,20 +65,14 @@ def run_stream(spark: SparkSession, source: DataFrame, scratch: Scratch) -> Data
     return updates.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("x")).select("digest", "x.*")
 
 
-def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row. `digest` can be replaced (weaker ones for tests)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "dedup")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    log = scratch.table(
-        texts.select("doc_id", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "digests",
-    )
+def _decided(docs: DataFrame, scratch: Scratch, digest) -> DataFrame:
+    """PLACE, doc_id, keep_id, group_size, kept, text_sha256 for each row of a placed table."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(PLACE).alias("row"), normalised(F.col("text")).alias("norm"))
+    log = scratch.table(texts.select("doc_id", "row", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256")), "digests")
     if log.isEmpty():
-        return spark.createDataFrame([], "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string")
-    stream = spark.readStream.schema(log.schema).parquet(f"{scratch.path}/digests")
-    state = scratch.table(run_stream(spark, stream, scratch), "groups")
+        return docs.sparkSession.createDataFrame([], f"{PLACE} bigint, doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string")
+    stream = docs.sparkSession.readStream.schema(log.schema).parquet(f"{scratch.path}/digests")
+    state = scratch.table(run_stream(docs.sparkSession, stream, scratch), "groups")
 
     # full bytes on hits: each text of a shared digest must equal, as a whole, the text at the locator that the state keeps
     shared = state.where("group_size > 1").select("digest", F.col("first.doc_id").alias("keep_id"))
@@ -89,23 +83,29 @@ def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     differ = cut(hits.join(keepers, ["digest", "norm"], "left_anti").select("digest").distinct())
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    whole = log.join(state, "digest").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first") == first).alias("kept"), "text_sha256", "digest")
+    found = [F.col("row").alias(PLACE), "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first") == first).alias("kept")]
+    whole = log.join(state, "digest").select(*found, "text_sha256", "digest")
     if not differ.isEmpty():
         # digests that different texts share: group these rows by the whole text, which sha256 and length stand for no more
-        rows = texts.withColumn("digest", digest(F.col("norm"))).join(differ, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id())
-        rows = scratch.table(rows, "collisions")
+        rows = scratch.table(texts.withColumn("digest", digest(F.col("norm"))).join(differ, "digest", "left_semi"), "collisions")
         groups = rows.groupBy("norm").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
-        fixed = rows.join(groups, "norm").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("first") == first).alias("kept"), sha256(F.col("norm")).alias("text_sha256"), "digest")
+        fixed = rows.join(groups, "norm").select(*found, sha256(F.col("norm")).alias("text_sha256"), "digest")
         whole = whole.join(differ, "digest", "left_anti").unionByName(fixed)
-    whole = cut(whole.drop("digest"))
+    return whole.drop("digest")
+
+
+def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row. `digest` can be replaced (weaker ones for tests)."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    whole = cut(_decided(scratch.placed(docs.select("doc_id", "text"), "rows"), scratch, digest).drop(PLACE))
     scratch.drop()
     return whole
 
 
 def duplicates_dropped(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies; needs a doc_id of its own for each row that has one.
-
-    Rows with a null doc_id stay only where no equal text has a doc_id, all of them.
-    """
-    gone = dedup(docs).where("not kept and doc_id is not null and doc_id <> keep_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that the operator marks as kept: one of each group of equal texts, whatever the doc_ids."""
+    rows = Scratch(docs.sparkSession, "distinct").placed(docs, "rows")  # the result reads it
+    scratch = Scratch(docs.sparkSession, "dedup")
+    gone = cut(_decided(rows, scratch, sha256).where("not kept").select(PLACE))
+    scratch.drop()
+    return rows.join(gone, PLACE, "left_anti").select(*docs.columns)

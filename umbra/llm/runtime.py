@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: The column that tells rows of a written table apart where doc_ids are null or repeated.
+PLACE = "umbra_place"
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +47,10 @@ class Scratch:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def placed(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of df with a unique PLACE for each row, which stays the same however often it is read."""
+        return self.table(df.withColumn(PLACE, F.monotonically_increasing_id()), name)
+
     def drop(self, name: str = "") -> None:
         """Deletes a table (or all of the run's) that no later plan reads."""
         jvm = self.spark._jvm
