@@ -296,6 +296,18 @@ def test_mixing_odd(odd):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixed_takes_each_row_by_itself(spark):
+    rows = [(None, f"null {i} " + "w " * 8, "en", "src0") for i in range(10)] + [(7, f"same {i} " + "w " * 8, "en", "src1") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    by = {r.source: r["count"] for r in mixing.mixed(docs, part=(1, 1)).groupBy("source").count().collect()}
+    assert by == {"src0": 10, "src1": 10}
+    taken = mixing.mix(mixing.document_leaves(docs), mixing.document_weights(), part=(1, 2), epochs=1).collect()
+    got = mixing.mixed(docs, part=(1, 2)).collect()
+    for source in ("src0", "src1"):
+        assert sum(r.source == source for r in got) == sum(r.source == source for r in taken) < 10
+    assert len({r.text for r in got}) == len(got)
+
+
 # ---- 9
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_matches_brute_force(spark, rule):

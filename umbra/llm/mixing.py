@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from umbra.llm.runtime import Scratch
+from umbra.llm.runtime import PLACE, Scratch
 
 LEVELS = ("domain", "lang", "source")
 DIGITS = 3
@@ -65,14 +65,15 @@ def budgets(leaves: DataFrame, budget: int, epochs: int) -> DataFrame:
     return top
 
 
-def mix(docs: DataFrame, weights: dict[str, Column], budget: int | None = None, part: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, tokens, take_tokens for each document taken in each epoch.
+def mix(docs: DataFrame, weights: dict[str, Column], budget: int | None = None, part: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 17, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, tokens, take_tokens and the columns `also` for each document taken in each epoch.
 
-    `docs` has doc_id, the levels and tokens; the budget is given or the part of all tokens; weights: by level.
+    `docs` has doc_id, the levels and tokens; the budget is given or the part of all tokens; weights: by level. `also`
+    breaks ties in the order.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     clean = {c: F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in LEVELS}
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[v.alias(c) for c, v in clean.items()], F.col("tokens").cast("bigint").alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[v.alias(c) for c, v in clean.items()], F.col("tokens").cast("bigint").alias("tokens"), *also)
     rows = scratch.table(rows, "rows")
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).withColumns({f"weight_{c}": w for c, w in weights.items()}), "leaves")
     if budget is None:
@@ -88,11 +89,11 @@ def mix(docs: DataFrame, weights: dict[str, Column], budget: int | None = None,
     heads = last.groupBy(*LEVELS, "head").agg(F.sum("tokens").alias("sum"))
     before = W.partitionBy(*LEVELS).orderBy("head").rowsBetween(W.unboundedPreceding, -1)
     heads = heads.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).select(*LEVELS, "head", "before")
-    inside = W.partitionBy(*LEVELS, "head").orderBy("place", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*LEVELS, "head").orderBy("place", "tokens", *also).rowsBetween(W.unboundedPreceding, -1)
     last = last.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(heads, [*LEVELS, "head"])
     left = F.col("prefix") - F.col("before") - F.col("inside")
     last = last.where(left > 0).withColumn("take_tokens", F.least("tokens", left))
-    out = ["doc_id", *LEVELS, F.col("epoch").cast("int").alias("epoch"), "tokens", "take_tokens"]
+    out = ["doc_id", *LEVELS, F.col("epoch").cast("int").alias("epoch"), "tokens", "take_tokens", *also]
     return whole.select(*out).union(last.select(*out))
 
 
@@ -100,10 +101,10 @@ def number_in(column: str) -> Column:
     return F.coalesce(F.expr(f"try_cast(regexp_extract({column}, '([0-9]+)', 1) as bigint)"), F.lit(0))
 
 
-def document_leaves(docs: DataFrame) -> DataFrame:
-    """The documents' tree: the domain is d0 to d3 by the source's number."""
+def document_leaves(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The documents' tree, with the columns `also`: the domain is d0 to d3 by the source's number."""
     domain = F.concat(F.lit("d"), (number_in("source") % 4).cast("string"))
-    return docs.select("doc_id", domain.alias("domain"), "lang", "source", words(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", domain.alias("domain"), "lang", "source", words(F.col("text")).alias("tokens"), *also)
 
 
 def document_weights() -> dict[str, Column]:
@@ -115,6 +116,10 @@ def document_weights() -> dict[str, Column]:
 
 
 def mixed(docs: DataFrame, part: tuple[int, int] = (9, 10), seed: int = 17) -> DataFrame:
-    """The documents of one epoch that the budgets cover, whole: the last of a leaf's prefix isn't cut."""
-    taken = mix(document_leaves(docs), document_weights(), part=part, epochs=1, seed=seed).where("take_tokens > 0 or tokens = 0")
-    return docs.join(taken.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The documents of one epoch that the budgets cover, whole: the last of a leaf's prefix isn't cut.
+
+    Each row is taken by itself, also where doc_ids are null or repeated.
+    """
+    rows = Scratch(docs.sparkSession, "mixed").placed(docs, "rows")  # the result reads it
+    taken = mix(document_leaves(rows, (PLACE,)), document_weights(), part=part, epochs=1, seed=seed, also=(PLACE,))
+    return rows.join(taken.where("take_tokens > 0 or tokens = 0").select(PLACE), PLACE, "left_semi").select(*docs.columns)
