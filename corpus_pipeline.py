@@ -2,7 +2,8 @@
 
 Every stage works on all rows that its predecessor kept; its result is written as Parquet and read again. All but the
 last return the columns of documents. Defined cases are those of the operators; a document whose language is ``und``
-(null, empty or without a letter) goes in the first stage, so later stages see text.
+(null, empty or without a letter) goes in the first stage, so later stages see text. A null lang is filled there with the
+predicted one, by which the mixing tree sorts it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,15 @@ from umbra.llm.runtime import Scratch, documents, remainder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is recognised."""
+    """Keeps the documents in which a language is recognised, which stands for a missing lang.
+
+    With no labelled row there is no language to tell: all documents with a letter stay.
+    """
     model = langid.fit(docs, F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))
-    return langid.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if model is None:
+        return langid.lettered(docs)
+    found = langid.identify(docs, model).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, check_packing
 from umbra.llm.mixing import mixed
@@ -26,3 +28,15 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language id", "exact dedup", "near duplicates", "mixing", "packing"]
+
+
+def test_language_fills_what_is_missing(spark):
+    rows = [(3 * i, "the house and the street " * 3, "en") for i in range(8)] + [(100 + 3 * i, "la maison est dans la rue " * 3, "fr") for i in range(8)]
+    rows += [(201, "the street and the house", None), (202, "dans la rue est la maison", None), (203, "123 !", None), (204, "the house", "de")]
+    docs = spark.createDataFrame([(*r, "src1") for r in rows], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {**{r[0]: r[2] for r in rows if r[0] != 203}, 201: "en", 202: "fr"}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.language(spark, unlabelled, "").collect()
+    assert {r.doc_id for r in left} == {r[0] for r in rows} - {203} and {r.lang for r in left} == {None}
+    assert corpus_pipeline.language(spark, docs, "").columns == docs.columns

@@ -181,6 +181,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter; without one a text is ``und`` under any model."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(t) for t in texts_of(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_of(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows whose crc32(doc_id) mod 3 is not 1."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
