@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -277,6 +278,13 @@ def test_texts_that_share_a_digest_are_told_apart(spark):
     assert got == {(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False), (4, 4, 1, True)}
 
 
+def test_keepers_without_an_id_of_their_own_are_told_apart(spark):
+    rows = spark.createDataFrame([(None, "ab"), (None, "cd"), (None, "ab"), (5, "xyz"), (5, "uvw")], "doc_id bigint, text string")
+    got = sorted(((r.text_sha256, r.doc_id, r.group_size, r.kept) for r in dedup(rows, digest=lambda c: F.length(c).cast("string")).collect()), key=str)
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("ab", "cd", "xyz", "uvw")}
+    assert got == sorted([(sha["ab"], None, 2, True), (sha["ab"], None, 2, False), (sha["cd"], None, 1, True), (sha["xyz"], 5, 1, True), (sha["uvw"], 5, 1, True)], key=str)
+
+
 # ---- 8
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("d", "x", "a", 10, 1, 1, 1), ("d", "x", "b", 100, 1, 1, 1), ("d", "y", "c", 1000, 1, 1, 1), ("e", "x", "f", 1000, 1, 1, 1)],

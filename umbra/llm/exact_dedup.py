@@ -75,11 +75,11 @@ def _decided(docs: DataFrame, scratch: Scratch, digest) -> DataFrame:
     state = scratch.table(run_stream(docs.sparkSession, stream, scratch), "groups")
 
     # full bytes on hits: each text of a shared digest must equal, as a whole, the text at the locator that the state keeps
-    shared = state.where("group_size > 1").select("digest", F.col("first.doc_id").alias("keep_id"))
+    shared = state.where("group_size > 1").select("digest", F.col("first.row").alias("keep_row"))
     near = maybe_in(texts.withColumn("digest", digest(F.col("norm"))), F.col("digest"), membership(shared, "digest"))
     # a table of its own, as the planner would move semi and anti joins below the bitmap, and shuffle all texts
     hits = scratch.table(near.join(shared, "digest"), "hits")
-    keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "norm")
+    keepers = hits.where("row = keep_row").select("digest", "norm")
     differ = cut(hits.join(keepers, ["digest", "norm"], "left_anti").select("digest").distinct())
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
