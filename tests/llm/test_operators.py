@@ -108,6 +108,15 @@ def test_language_odd(odd, spark):
     assert langid.identify(odd, None).columns[-2:] == ["lang_pred", "score"]
 
 
+def test_every_label_is_a_language_of_the_model(spark):
+    names = sorted({lang for langs in langid.FAMILIES.values() for lang in langs}) + [f"x{i}" for i in range(32)]
+    rows = [(i, f"{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 7 * i)} " * 4, lang) for i, lang in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(names) > 64 and model.langs == sorted(names)
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, model).collect())
+
+
 def test_quality_held_out(docs, spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").toPandas()

@@ -5,8 +5,9 @@ then others tell the languages within the predicted family apart; votes decide,
 relative frequencies of byte bigrams and trigrams (A-Z folded, other ASCII non-letters as one space), so a text's score
 is a mean of weights over its n-grams: one pass, no vocabulary, any length.
 
-Fitted on at most ``PER_LANGUAGE`` rows of each of at most ``LANGUAGES`` languages, drawn by a hash of the id from
-labelled rows that are not held out.
+Fitted on at most ``PER_LANGUAGE`` rows of each language, drawn by a hash of the id from labelled rows that are not held
+out. Every label is a language of the model; its weights grow with the square of the number of families and of a
+family's languages, and hold only the n-grams that the rows have.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled row all are ``und``; with
 one language all others get it with score 1; a null lang is never learned from; a null doc_id stays; repeated rows are
@@ -30,7 +31,7 @@ from umbra.llm.linear import dual_coordinate_descent
 from umbra.llm.runtime import remainder, ship
 from umbra.llm.textops import slices, texts_of
 
-PER_LANGUAGE, LANGUAGES, SIZE = 300, 64, 1 << 16
+PER_LANGUAGE, SIZE = 300, 1 << 16
 #: Branches of the languages that a corpus may hold; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -79,19 +80,22 @@ class Model:
         for lang in self.langs:
             self.members[FAMILY_OF.get(lang, lang)].append(lang)
         self.pairs: list[tuple[str, str]] = []
-        weights = []
+        weights, bias = [], []
         pooled = {f: [r for lang in langs for r in rows[lang]] for f, langs in self.members.items()}
         self.families = sorted(self.members)
+        used = np.unique(np.concatenate([i for data in rows.values() for i, _ in data]))
+        self.place = np.zeros(2 * SIZE, np.int32)  # of each slot among the weights; 0: no row has it
+        self.place[used] = np.arange(1, len(used) + 1)
         for names, data in ((self.families, pooled), *((langs, rows) for langs in self.members.values())):
             for a, b in combinations(sorted(names), 2):
                 self.pairs.append((a, b))
-                scaled = [(i, v * 30) for i, v in (*data[a], *data[b])]
+                scaled = [(self.place[i], v * 30) for i, v in (*data[a], *data[b])]
                 y = np.array([1.0] * len(data[a]) + [-1.0] * len(data[b]))
-                w = dual_coordinate_descent(scaled, y, 2 * SIZE)
+                w = dual_coordinate_descent(scaled, y, len(used) + 1)
                 w[:-1] *= 30
-                weights.append(w)
-        self.bias = np.array([w[-1] for w in weights])
-        self.weights = np.array([w[:-1] for w in weights], np.float32).reshape(len(weights), 2 * SIZE)
+                bias.append(w[-1])
+                weights.append(w[:-1].astype(np.float32))
+        self.bias, self.weights = np.array(bias), weights
 
     def _vote(self, names: list[str], margin: dict[tuple[str, str], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner, and its least certainty over its duels."""
@@ -112,6 +116,7 @@ class Model:
         buf, first = _folded(texts)
         two, three = ngrams(buf)
         two, three = two[: first[-1] + len(texts[-1]) + 1], three[: first[-1] + len(texts[-1]) + 1] + SIZE
+        two, three = self.place[two], self.place[three]
         length = np.diff(np.append(first, len(two)))
         margin = {}
         for pair, w, b in zip(self.pairs, self.weights, self.bias, strict=True):
@@ -132,13 +137,12 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     """Learns from the rows that `learn` names."""
     ship(docs.sparkSession)
     docs = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 31))).otherwise(share)
+    shares = [(r.lang, int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 31))) for r in counts]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +152,8 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
             lang, at = batch.column(0).filter(keep), batch.column(1).filter(keep)
             yield pa.record_batch([lang, at, pa.array(slot, pa.binary()), pa.array(share, pa.binary())], ["lang", "place", "slot", "share"])
 
-    chosen = docs.where(place < share).select("lang", place.alias("place"), "text")
-    rows = chosen.mapInArrow(run, "lang string, place bigint, slot binary, share binary").collect()  # bounded by PER_LANGUAGE * LANGUAGES
+    chosen = docs.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", place.alias("place"), "text")
+    rows = chosen.mapInArrow(run, "lang string, place bigint, slot binary, share binary").collect()  # at most PER_LANGUAGE a language
     by_lang = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.slot, r.share)):
         if len(by_lang[r.lang]) < PER_LANGUAGE:
@@ -161,7 +165,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns, lang_pred and score; the text is read whole."""
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # two floats a slot and pair: bounded by LANGUAGES
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a float for each n-gram in use and pair
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
