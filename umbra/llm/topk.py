@@ -1,10 +1,11 @@
-"""Exact top-k by inner product without random access.
+"""Exact top-k by inner product from sorted lists.
 
-Method: no-random-access aggregation. A block of vectors keeps one sorted list for each dimension. A query reads each
+Method: no-random-access aggregation, but for the last step. A block of vectors keeps one sorted list for each dimension. A query reads each
 list from the end where its contribution is largest, all lists to the same depth; what a vector's unread lists can add
 lies between the list's far end and the last value read, which bounds its score from both sides. Reading goes deeper
-until no other vector's upper bound, read or unread, reaches the k-th largest lower bound; scores of the vectors left are
-then resolved by reading their lists on. A block of queries reads together; each stops by itself.
+until no other vector's upper bound, read or unread, reaches the k-th largest lower bound; scores of the few vectors left
+are then resolved from the whole vectors, by random access. Depths are a quarter, a half, three quarters and all of a
+list; at the last, bounds are scores. A block of queries reads together; each stops by itself.
 
 Vectors are dealt by hash into blocks of about ``BLOCK``, queries into blocks of about ``QUERIES``; the k best of each
 block are merged, which is exact. Nothing grows in one task: a block is bounded and no side is broadcast.
