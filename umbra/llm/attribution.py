@@ -16,6 +16,7 @@ empty table gives no rows; other columns are ignored. Very long texts are encode
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.runtime import ship
+from umbra.llm.runtime import lean, ship
 
 RULES = ("first", "last", "most")
 
@@ -43,6 +44,12 @@ class ByteBpe:
         return np.cumsum(self.size[np.array(self.coder.encode_ordinary(text.decode("utf-8", "replace")), np.int64)])
 
 
+@functools.lru_cache(1)
+def byte_coder(path: str, pattern: str) -> ByteBpe:
+    """The worker's one encoder, which its tasks share."""
+    return ByteBpe(path, pattern)
+
+
 def owners(ends: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(section of each token, whether it crosses a boundary), for sections that begin at `starts` and leave no gap."""
     begin = np.concatenate([[0], ends[:-1]])
@@ -66,8 +73,9 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
     ship(docs.sparkSession)
     names = ["doc_id", "section", "start_char", "end_char", "tokens", "crossing"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(vocabulary, pattern)
+        coder = byte_coder(vocabulary, pattern)
         for batch in batches:
             out, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.graph import components, maybe_in, membership
-from umbra.llm.runtime import Scratch, cut
+from umbra.llm.runtime import Scratch, cut, lean
 from umbra.llm.textops import mix, shingle_sets, texts_of
 
 SKETCH_BITS = 22
@@ -50,6 +50,7 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
     """Rank classes by the number of documents of each slot, over all documents; and what a rare shingle's slot holds."""
     slots, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.uint32)
         for batch in batches:
@@ -64,6 +65,7 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
                 total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
         yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)])], ["counts"])
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_row = np.zeros(slots, np.uint64), False
         for batch in batches:
@@ -86,6 +88,7 @@ def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     """doc_id, n_shingles, fingerprint, prefix (rarest first, as hashes) and the cost of scanning the prefix's lists."""
     shift = np.uint64(64 - SKETCH_BITS)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, noise = classes.value
         for batch in batches:
@@ -135,6 +138,7 @@ def _postings(classes: DataFrame, percent: int, light: int) -> DataFrame:
     band = -(-percent * (light + 1) // 100)
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size_pos", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
@@ -174,6 +178,7 @@ def _possible(percent: int, n: str, pos: str, m: str, at: str):
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -193,6 +198,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Whole shingle sets of the nodes; only their documents pass the filter before any shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [s.tobytes() for s in shingle_sets(texts_of(batch.column(1)), k)]

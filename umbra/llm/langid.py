@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm.linear import dual_coordinate_descent
-from umbra.llm.runtime import remainder, ship
+from umbra.llm.runtime import lean, remainder, ship
 from umbra.llm.textops import slices, texts_of
 
 PER_LANGUAGE, SIZE = 300, 1 << 16
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     shares = [(r.lang, int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 31))) for r in counts]
     share = docs.sparkSession.createDataFrame(shares, "lang string, share bigint")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) if has_letter(t) else None for t in texts_of(batch.column(2))]
@@ -169,6 +170,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
@@ -190,6 +192,7 @@ def lettered(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([has_letter(t) for t in texts_of(batch.column(at))], pa.bool_()))

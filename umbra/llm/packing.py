@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.llm.runtime import Scratch
+from umbra.llm.runtime import Scratch, lean, release, ship
 from umbra.llm.textops import slices, texts_of
-from umbra.llm.wordbpe import WordBpe
+from umbra.llm.wordbpe import coder
 
 GROUP = 4000
 TOKENS, SEGMENTS = 4096, 512
-ENCODE_BYTES = 1 << 23
+ENCODE_BYTES = 1 << 20
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -38,13 +38,16 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int = TOK
     """Encodes whole texts once and cuts each at multiples of `most`; one row for each piece."""
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
+    ship(docs.sparkSession)
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe(vocabulary)
+        words = coder(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for a, b in slices(texts, ENCODE_BYTES):
                 rows = []
-                tokens, bound = coder.encode(texts[a:b])
+                tokens, bound = words.encode(texts[a:b])
                 for doc, lo, hi in zip(ids[a:b], bound[:-1].tolist(), bound[1:].tolist(), strict=True):
                     own = np.append(tokens[lo:hi], np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(own), most):
@@ -104,6 +107,7 @@ def pack(pieces: DataFrame, limits: dict[str, int], group: int = GROUP) -> DataF
         offset = np.zeros(len(demand), np.int64)
         offset[line] = before - np.repeat(before[first], np.diff(np.append(first, len(line))))
         table = table.drop_columns(["umbra_group"])
+        release()
         return table.append_column("sequence_id", pa.array((int(key[0].as_py()) << 32) + bins)).append_column("offset", pa.array(offset))
 
     return pieces.withColumn("umbra_group", key).groupBy("umbra_group").applyInArrow(run, schema)

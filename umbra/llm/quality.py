@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.linear import dual_coordinate_descent, logistic, margins
-from umbra.llm.runtime import remainder, ship
+from umbra.llm.runtime import lean, remainder, ship
 from umbra.llm.textops import slices, texts_of, words_of
 
 PER_CLASS, BITS, THRESHOLD, SMOOTH = 2500, 17, 0.3, 1.0
@@ -105,6 +105,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Da
         share = F.when(F.col("label") == 1, int(min(1, PER_CLASS / counts[1]) * (1 << 31))).otherwise(int(min(1, PER_CLASS / counts[0]) * (1 << 31)))
         sample = known.where(place < share)
 
+        @lean
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [s.tobytes() for s in indicators(texts_of(batch.column(2)))]
@@ -120,6 +121,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Da
             weights, bias = fit([np.frombuffer(r.slots, np.int32) for r in kept], y, prior)
     held = spark.sparkContext.broadcast((weights, bias))
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = held.value
         for batch in batches:

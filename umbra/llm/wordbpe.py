@@ -3,11 +3,13 @@
 White space never enters a token of such a vocabulary, so the ids of a text are the ids of its space-delimited chunks,
 one after another. Each batch encodes only the distinct chunks that the worker hasn't met yet: they are cut by the
 file's own pattern and merged by rank in arrays, all words of one length at a time. Anything outside plain Latin text
-goes through the tokenizer itself.
+goes through the tokenizer itself. A chunk is known by a 64-bit hash: with the ``CHUNKS`` that a worker remembers at
+most, two of them share one with a probability under 2**-24.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -16,7 +18,7 @@ import regex
 
 from umbra.llm.textops import word_hashes, word_spans
 
-LONGEST = 32
+LONGEST, CHUNKS = 32, 1 << 19
 _NONE = np.int32(1 << 30)
 _MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN = regex.compile(r"[\x20-ɏ\x00-\x1B&&[^\x80-\x9F]]*", regex.V1)
@@ -30,9 +32,9 @@ def _byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Encodes lists of UTF-8 texts; `cache` bounds the chunks that one worker remembers."""
+    """Encodes lists of UTF-8 texts; `cache` bounds the chunks that one worker remembers, at about 30 bytes each."""
 
-    def __init__(self, path: str, cache: int = 2_500_000):
+    def __init__(self, path: str, cache: int = CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +58,7 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.where, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,8 +156,8 @@ class WordBpe:
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
-        self.where = np.concatenate([self.where, new_where + len(self.pool)])[order]
-        self.size = np.concatenate([self.size, new_size])[order]
+        self.where = np.concatenate([self.where, (new_where + len(self.pool)).astype(np.int32)])[order]
+        self.size = np.concatenate([self.size, new_size.astype(np.int32)])[order]
         self.pool = np.concatenate([self.pool, flat, *slow])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +177,17 @@ class WordBpe:
             own = first[miss]
             self._learn(unique[miss], [view[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             at = np.searchsorted(self.known, unique)
-        size = self.size[at][back] if len(unique) else np.zeros(0, np.int64)
-        ids = gather(self.pool, self.where[at][back], size) if len(unique) else np.zeros(0, np.uint32)
+        size = self.size[at][back].astype(np.int64) if len(unique) else np.zeros(0, np.int64)
+        ids = gather(self.pool, self.where[at][back].astype(np.int64), size) if len(unique) else np.zeros(0, np.uint32)
         return ids, np.concatenate([[0], np.cumsum(size)])[bound]
 
 
+@functools.lru_cache(1)
+def coder(path: str) -> WordBpe:
+    """The worker's one encoder, which its tasks share."""
+    return WordBpe(path)
+
+
 def gather(pool: np.ndarray, where: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pool's runs of `size` entries from `where`, one after another."""
     first = np.cumsum(size) - size
