@@ -347,29 +347,54 @@ def test_attribution_matches_brute_force(spark, rule):
 
 
 # ---- 10
-def test_topk_matches_brute_force(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(0, 300)]
-    rows += [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, [1.0, 2.0]), (1151, [3.0, 1.0]), (1200, []), (50, rows[50][1]), (None, rows[3][1])]
-    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
-    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+def brute_top_k(rows, k=5):
+    v = [(n, i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for n, (i, x) in enumerate(rows) if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     want = []
-    for q, x in v:
+    for n, q, x in v:
         if q % 50 == 0:
-            scores = sorted((-int(x @ y), i) for i, y in v if i != q and len(y) == len(x))[:5]
-            want += [(q, -s, i) for s, i in scores]
-    have = defaultdict(list)
-    for r in got:
-        have[r.query_id].append((r.query_id, r.score, r.vec_id))
-    for q in {q for q, *_ in want} - {50}:
-        assert sorted(have[q]) == sorted(w for w in want if w[0] == q)
+            scores = sorted((-int(x @ y), i) for m, i, y in v if m != n and len(y) == len(x))[:k]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(want)
+
+
+def test_topk_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8 * 64)  # several blocks and chunks
+    monkeypatch.setattr(topk, "CHUNK", 16 * 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(0, 300)]
+    rows += [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, [1.0, 2.0]), (1151, [3.0, 1.0]), (1200, []), (50, rows[50][1]), (50, rows[51][1]), (None, rows[3][1])]
+    rows += [(2000, [0.0] * 8), (2001, [5.0] * 8), (2001, [5.0] * 8), (7, [5.0] * 8)]
+    docs = spark.createDataFrame([(i, x, 7, 1, "b") for i, x in rows], "vec_id bigint, embedding array<float>, number bigint, width int, block string")
+    got = topk.search(docs, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top_k(rows)
+    assert all(0 <= r.depth <= 1 for r in got)
+
+
+def test_topk_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert topk.search(empty, F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.search(spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_reading_stops_early_and_stays_exact():
     rng = np.random.default_rng(6)
     v = rng.integers(-3, 3, (400, 4)).astype(float)
     v[:9] += 60
-    q = np.abs(rng.integers(1, 9, (5, 4))).astype(float)
-    for i, ids, scores in topk.top_k(v, np.arange(400), q, np.full(5, -1), 3):
-        best = sorted(zip(-(v @ q[i]), range(400), strict=True))[:3]
-        assert sorted(zip(-scores, ids, strict=True))[:3] == best
+    lists = topk.Lists(v)
+    for q in np.abs(rng.integers(1, 9, (5, 4))).astype(float):
+        for floor in (-np.inf, float(np.sort(v @ q)[-3])):
+            rows, scores, depth, reads = topk.top_k(lists, q, 3, floor)
+            assert sorted(zip(-scores, rows, strict=True))[:3] == sorted(zip(-(v @ q), range(400), strict=True))[:3]
+            assert depth <= 225 and reads <= 1600
+
+
+@pytest.mark.parametrize("width", [1, 3, 24])
+def test_bounds_never_lose_a_row(width):
+    rng = np.random.default_rng(width)
+    v = rng.integers(-2, 3, (150, width)).astype(float)
+    lists = topk.Lists(v)
+    for q in [*rng.integers(-2, 3, (30, width)).astype(float), np.zeros(width)]:
+        own = int(rng.integers(0, 150))
+        rows, scores, *_ = topk.top_k(lists, q, 4, own=own)
+        want = sorted((-x, i) for i, x in enumerate(v @ q) if i != own)[:4]
+        assert sorted((-s, i) for s, i in zip(scores, rows.tolist(), strict=True))[:4] == want

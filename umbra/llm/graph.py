@@ -1,4 +1,4 @@
-"""Fixed-size sketches and connected components for the pairwise operators."""
+"""Bitmaps of keys, which filter rows before a shuffle, and connected components."""
 
 from __future__ import annotations
 
@@ -7,31 +7,53 @@ from pyspark.sql import functions as F
 
 from umbra.llm.runtime import cut
 
-BITS = 1 << 25
-BUCKET = 1 << 15
+#: A bitmap is broadcast, so it has 32 MiB at most; more keys than a quarter of its bits go without one.
+MOST_BITS, BUCKET = 1 << 28, 1 << 15
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITS))
+class Membership:
+    """A bitmap of the hashed keys of a written table, eight bits or more a key until `MOST_BITS`; none beyond that."""
 
+    def __init__(self, keys: DataFrame, *columns: str):
+        n = keys.count()
+        self.bits = max(BUCKET, min(MOST_BITS, 1 << max(0, 8 * n - 1).bit_length()))
+        self.bitmap = None
+        if 4 * n <= self.bits:
+            at = self._place(*[F.col(c) for c in columns])
+            self.bitmap = (
+                keys.select(at.alias("at")).groupBy(F.expr(f"at div {BUCKET}").alias("bitmap_bucket"))
+                .agg(F.expr(f"bitmap_construct_agg(at % {BUCKET})").alias("bitmap"))
+            )
 
-def membership(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of the hashed keys: at most BITS / BUCKET rows of 4 KiB, so 4 MiB whatever the input."""
-    at = _place(F.col(column))
-    return (
-        keys.select(at.alias("at"))
-        .groupBy(F.expr(f"at div {BUCKET}").alias("bitmap_bucket"))
-        .agg(F.expr(f"bitmap_construct_agg(at % {BUCKET})").alias("bitmap"))
-    )
+    def _place(self, *key: Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.bits))
 
+    def flagged(self, df: DataFrame, *key: Column) -> DataFrame:
+        """df with umbra_maybe: false for rows whose key is surely not among the keys."""
+        if self.bitmap is None:
+            return df.withColumn("umbra_maybe", F.lit(True))
+        named = df.withColumns({"bitmap_at": self._place(*key)}).withColumn("bitmap_bucket", F.expr(f"bitmap_at div {BUCKET}"))
+        byte = F.expr(f"cast(conv(hex(substring(bitmap, cast((bitmap_at % {BUCKET}) div 8 + 1 as int), 1)), 16, 10) as int)")
+        bit = F.expr(f"cast((bitmap_at % {BUCKET}) % 8 as int)")
+        joined = named.join(F.broadcast(self.bitmap), "bitmap_bucket", "left")
+        maybe = F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+        return joined.withColumn("umbra_maybe", maybe).drop("bitmap_at", "bitmap_bucket", "bitmap")
 
-def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose key may be in the bitmap: no key in it is lost, few others stay."""
-    named = df.withColumns({"bitmap_at": _place(key)}).withColumn("bitmap_bucket", F.expr(f"bitmap_at div {BUCKET}"))
-    byte = F.expr(f"cast(conv(hex(substring(bitmap, cast((bitmap_at % {BUCKET}) div 8 + 1 as int), 1)), 16, 10) as int)")
-    bit = F.expr(f"cast((bitmap_at % {BUCKET}) % 8 as int)")
-    joined = named.join(F.broadcast(bitmap), "bitmap_bucket")
-    return joined.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("bitmap_at", "bitmap_bucket", "bitmap")
+    def near(self, df: DataFrame, *key: Column) -> DataFrame:
+        """Rows of df whose key may be among the keys: none of those is lost, few others stay."""
+        return self.flagged(df, *key).where("umbra_maybe").drop("umbra_maybe")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key isn't in `gone`, a written table of distinct keys; null keys stay.
+
+    Only rows that the bitmap can't clear are shuffled. (The planner would move an anti join below the bitmap, and
+    shuffle all rows; an outer join stays above it.)
+    """
+    flagged = Membership(gone, key).flagged(df, F.col(key))
+    listed = gone.select(F.col(key).alias("umbra_gone"))
+    checked = flagged.where("umbra_maybe").join(listed, F.col(key) == F.col("umbra_gone"), "left").where("umbra_gone is null")
+    return flagged.where("not umbra_maybe").select(*df.columns).unionByName(checked.select(*df.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

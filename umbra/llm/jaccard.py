@@ -16,9 +16,15 @@ different components are compared with each other, the largest component of a li
 could join two components is left out, and n near copies of one text cost about n comparisons, not n**2. Comparison is
 exact, on whole sets.
 
+No task gets what grows with a list, a hub or a group of copies: hot keys join broadcast rows (at most HOT of them), a
+hub's set is dealt to several tasks by the number of its pairs, and members are paired only within neighbouring bands
+of size. Words, shingles and keys are 64-bit hashes: two texts of n and m shingles count a false common one with a
+probability under n m / 2**64.
+
 Defined cases: text null, empty or only white space: an empty set, linked with nothing. Fewer than k words: the whole
-sequence is one shingle. Rows that share a doc_id are one node. A null doc_id: the row takes part in no link and has a
-null component. An empty table gives no rows; other columns are ignored.
+sequence is one shingle. Rows that share a doc_id are one node: their texts' links are all its own, and an empty text
+among them has the node's component. A null doc_id: the row takes part in no link and has a null component. An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.graph import components, maybe_in, membership
-from umbra.llm.runtime import Scratch, cut, lean
+from umbra.llm.graph import Membership, components, without
+from umbra.llm.runtime import HOT, Scratch, cut, keyed_join, lean
 from umbra.llm.textops import mix, shingle_sets, texts_of
 
-SKETCH_BITS = 22
+SKETCH_BITS, RANGES = 22, 64
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -47,8 +53,12 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    """Rank classes by the number of documents of each slot, over all documents; and what a rare shingle's slot holds."""
+    """Rank classes by the number of documents of each slot, over all documents; and what a rare shingle's slot holds.
+
+    Tasks count all slots; the counts meet by ranges of slots, so no task merges whole sketches.
+    """
     slots, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
+    width = slots // RANGES
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,25 +73,29 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
                     held, size = [], 0
             if held:
                 total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
-        yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)])], ["counts"])
+        for i in range(RANGES):
+            part = total[i * width : (i + 1) * width]
+            if part.any():
+                yield pa.record_batch([pa.array([i]), pa.array([zlib.compress(part.tobytes(), 1)])], ["part", "counts"])
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(slots, np.uint64), False
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total = totals.setdefault(i, np.zeros(width, np.uint64))
                 total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-                any_row = True
-        if any_row:
-            capped = np.minimum(total, 2**32 - 1).astype(np.uint32)
-            yield pa.record_batch([pa.array([zlib.compress(capped.tobytes(), 1)])], ["counts"])
+        for i, total in totals.items():
+            rank = np.minimum(255, np.round(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8)
+            yield pa.record_batch([pa.array([i]), pa.array([rank.tobytes()]), pa.array([float(total.sum(dtype=np.float64))])], ["part", "ranks", "total"])
 
-    parts = docs.select("text").mapInArrow(count, "counts binary")
-    parts = parts.repartition(8).mapInArrow(merge, "counts binary").coalesce(1).mapInArrow(merge, "counts binary")
-    rows = parts.collect()  # one row of at most 4 bytes a slot
-    total = np.frombuffer(zlib.decompress(rows[0][0]), np.uint32) if rows else np.zeros(slots, np.uint32)
-    mean = float(total.sum(dtype=np.float64)) / slots
-    return np.minimum(255, np.round(8 * np.log2(total.astype(np.float64) + 1))).astype(np.uint8), mean + 3 * math.sqrt(mean)
+    parts = docs.select("text").mapInArrow(count, "part bigint, counts binary").repartition(RANGES, "part")
+    rows = parts.mapInArrow(merge, "part bigint, ranks binary, total double").collect()  # at most one byte a slot
+    ranks = np.zeros(slots, np.uint8)
+    for r in rows:
+        ranks[r.part * width : (r.part + 1) * width] = np.frombuffer(r.ranks, np.uint8)
+    mean = sum(r.total for r in rows) / slots
+    return ranks, mean + 3 * math.sqrt(mean)
 
 
 def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
@@ -175,8 +189,20 @@ def _possible(percent: int, n: str, pos: str, m: str, at: str):
     return F.expr(f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m})") & (left >= need)
 
 
+def _dealt(rows: DataFrame, pairs: DataFrame, sets: DataFrame, node: str, other: str, words: str) -> DataFrame:
+    """Rows, one for each pair, with the words of one of their nodes; a node with many pairs is dealt to several tasks."""
+    load = pairs.groupBy(node).count()
+    spread = max(256, pairs.count() // HOT)
+    busy = F.broadcast(load.where(F.col("count") > spread).select(node, F.expr(f"int(count div {spread}) + 1").alias("parts")))  # HOT rows at most
+    one = F.coalesce("parts", F.lit(1))
+    left = rows.join(busy, node, "left").withColumn("deal", F.pmod(F.xxhash64(other), one).cast("int")).drop("parts")
+    right = sets.select(F.col("node").alias(node), F.col("words").alias(words)).join(busy, node, "left")
+    right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return left.join(right, [node, "deal"]).drop("deal")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) of a written table whose whole sets link."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +216,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
-    right = sets.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+    both = _dealt(_dealt(pairs, pairs, sets, "b", "a", "words_b"), pairs, sets, "a", "b", "words_a")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the nodes; only their documents pass the filter before any shuffle."""
+    """Whole shingle sets of the nodes, a written table; only their documents pass the filter before any shuffle."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +229,52 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             words = [s.tobytes() for s in shingle_sets(texts_of(batch.column(1)), k)]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.binary())], ["node", "words"])
 
-    near = maybe_in(docs, F.col("doc_id"), membership(nodes, "node"))
+    near = Membership(nodes, "node").near(docs, F.col("doc_id"))
     return near.select("doc_id", "text").mapInArrow(run, "node bigint, words binary").join(nodes, "node", "left_semi")
 
 
+def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs of a written table that link."""
+    nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}_nodes")
+    sets = scratch.table(_whole_sets(docs, nodes, k), f"{name}_sets")
+    linked = scratch.table(_verify(pairs, sets, percent), f"{name}_links")
+    scratch.drop(f"{name}_sets")
+    return linked
+
+
+def _lists(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """key, node, n, pos and the hub of each list that holds two nodes or more."""
+    wide = groups.where("prefix is not null")
+    postings = scratch.table(_postings(wide, percent, boundary(wide, percent)), "postings")
+    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    multi = scratch.table(multi.select("key", "rows"), "multi")
+    near = Membership(multi, "key").near(postings, F.col("key"))  # most keys have one set: they needn't be shuffled again
+    lists = keyed_join(near, multi, "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
+    lists = scratch.table(lists, "shared")
+    scratch.drop("postings")
+    hubs = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("rows"))
+    return scratch.table(keyed_join(lists, scratch.table(hubs, "hubs"), "key"), "lists")
+
+
+def _still_apart(lists: DataFrame, labels: DataFrame, star: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of one list whose components differ, one of them outside the list's largest, in bands of size that can link."""
+    apart = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = scratch.table(apart.select("key", "node", "n", "pos", "label", F.col("hub.node").alias("hub")), "labelled")
+    sizes = apart.groupBy("key", "label").count()
+    most = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"), F.sum("count").alias("rows"))
+    most = scratch.table(most.where("labels > 1").select("key", F.col("most.label").alias("main"), "rows"), "mains")
+    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    apart = scratch.table(keyed_join(apart, most, "key").where("node <> hub").withColumn("band", band), "apart")
+    minor = apart.where("label <> main").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")], F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    return (
+        apart.join(minor, ["key", "band"])
+        .where("label <> label_b and (label = main or node < node_b)")
+        .where(_possible(percent, "n", "pos", "n_b", "pos_b"))
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+        .join(star, ["a", "b"], "left_anti")
+    )
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable over links of `percent` or more."""
     if not 50 < percent <= 100:
@@ -217,59 +284,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = spark.sparkContext.broadcast(_sketch(docs, k))  # one byte a slot: 4 MiB
     sets = scratch.table(_sets(docs, k, percent, classes), "sets")
+    classes.destroy()
     groups = scratch.table(
         sets.where("fp is not null and doc_id is not null").groupBy("fp")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan")),
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("scan").alias("scan"), F.count("*").alias("rows")),
         "groups",
     )
-    wide = groups.where("prefix is not null")
-    postings = _postings(wide, percent, boundary(wide, percent))
-    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    multi = scratch.table(multi, "multi")
-    near = maybe_in(postings, F.col("key"), membership(multi, "key"))  # most keys have one set: they needn't be shuffled again
-    lists = near.join(multi, "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
-    lists = scratch.table(lists, "shared")
-    hubs = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
-    lists = scratch.table(lists.join(hubs, "key"), "lists")
+    # a doc_id of several texts is linked with the node of each
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(*[f(F.xxhash64(F.coalesce("fp", F.lit(b"")))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    several = scratch.table(several.where("lo <> hi").select("doc_id"), "several")
+    node_of = groups.select("fp", "node", "rows")
+    own = keyed_join(sets.where("fp is not null").select("doc_id", "fp").join(several, "doc_id", "left_semi"), node_of, "fp")
+    own = scratch.table(own.where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), "own")
+
+    lists = _lists(groups, percent, scratch)
     star = (
         lists.where(F.col("hub.node") != F.col("node"))
         .where(_possible(percent, "n", "pos", "hub.n", "hub.pos"))
         .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
     )
     star = scratch.table(star, "star")
-    shingles = scratch.table(_whole_sets(docs, star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), "star_sets")
-    linked = scratch.table(_verify(star, shingles, percent), "star_links")
-    scratch.drop("star_sets")
+    linked = _links(star, docs, k, percent, scratch, "star").union(own)
     labels = components(linked)
-
-    # members of one list that are still apart: each is compared unless both are in the list's largest component
-    apart = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = apart.select("key", "node", "n", "pos", "label", F.col("hub.node").alias("hub"))
-    sizes = apart.groupBy("key", "label").count()
-    most = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    apart = cut(apart.join(most.select("key", F.col("most.label").alias("main")), "key"))
-    minor = apart.where("label <> main and node <> hub").select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")])
-    rest = (
-        apart.where("node <> hub").join(minor, ["key", "main"])
-        .where("label <> label_b and (label = main or node < node_b)")
-        .where(_possible(percent, "n", "pos", "n_b", "pos_b"))
-        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    rest = scratch.table(rest, "rest")
+    rest = scratch.table(_still_apart(lists, labels, star, percent, scratch), "rest")
     if not rest.isEmpty():
-        shingles = scratch.table(_whole_sets(docs, rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), "rest_sets")
-        linked = scratch.table(linked.union(_verify(rest, shingles, percent)), "links")
-        labels = components(linked)
-    result = (
-        sets.select("doc_id", "n_shingles", "fp")
-        .join(groups.select("fp", "node"), "fp", "left").drop("fp")
-        .join(labels, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id"))
-    )
-    result = cut(result)
-    scratch.drop()
-    return result
+        labels = components(linked.union(_links(rest, docs, k, percent, scratch, "rest")))
+
+    found = scratch.table(node_of.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"), "rows"), "found")
+    texts = keyed_join(sets.where("fp is not null and doc_id is not null").select("doc_id", "n_shingles", "fp"), found, "fp").drop("fp")
+    rest = sets.where("fp is null or doc_id is null").select("doc_id", "n_shingles").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    rest = rest.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return scratch.finish(texts.select("doc_id", "n_shingles", "component_id").union(rest))
 
 
 def near_duplicates_dropped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -277,6 +322,6 @@ def near_duplicates_dropped(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
     Rows with a null doc_id stay: they take part in no link. Of rows that share a doc_id, all stay or go.
     """
-    found = jaccard_components(docs, k, percent)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = jaccard_components(docs, k, percent).where("component_id < doc_id").select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession, "near").table(gone, "gone")  # the result reads it
+    return without(docs, gone, "doc_id")

@@ -11,7 +11,8 @@ family's languages, and hold only the n-grams that the rows have.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled row all are ``und``; with
 one language all others get it with score 1; a null lang is never learned from; a null doc_id stays; repeated rows are
-scored each; an empty table gives no rows; in `identify`, other columns pass through, and clashing names are replaced.
+scored each; an empty table gives no rows; in `identify`, other columns pass through, and those of its `names` are
+replaced.
 """
 
 from __future__ import annotations
@@ -162,13 +163,13 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     return Model(by_lang) if by_lang else None
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns, lang_pred and score; the text is read whole."""
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns, and the predicted language and its score under `names`; the text is read whole."""
     ship(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a float for each n-gram in use and pair
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ reaches an ancestor only when all of them are full. Shares are whole numbers: wh
 each, in the siblings' order. A leaf then takes its documents in a seeded order for each epoch: whole epochs first, and
 of the last one the token-prefix that the budget covers; the document at the prefix's end is taken in part.
 
-Orders are by a hash, and running sums are taken over the hash's leading digits first, so a hot leaf is summed in
-thousands of parts that no task has to sort together. Only DataFrame operations.
+Orders are by a hash, and running sums are taken over the hash's first two digits, then the next two, then the rows, so
+a hot leaf is summed in 65,536 parts that no task has to sort together. Only DataFrame operations.
 
 Defined cases: a null text has no tokens; documents without tokens belong to a prefix if it reaches beyond their place
 in the order; null domain, language or source is the value ``?``; a weight that is missing or below 1 counts as 1;
@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from umbra.llm.graph import without
 from umbra.llm.runtime import PLACE, Scratch
 
 LEVELS = ("domain", "lang", "source")
-DIGITS = 3
 
 
 def words(text: Column) -> Column:
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[str, Column], budget: int | None = None,
     """doc_id, domain, lang, source, epoch, tokens, take_tokens and the columns `also` for each document taken in each epoch.
 
     `docs` has doc_id, the levels and tokens; the budget is given or the part of all tokens; weights: by level. `also`
-    breaks ties in the order.
+    breaks ties in the order, and gives rows without a doc_id their place in it.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     clean = {c: F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in LEVELS}
@@ -84,17 +84,23 @@ def mix(docs: DataFrame, weights: dict[str, Column], budget: int | None = None,
     rows = rows.join(given, list(LEVELS))
     whole = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).withColumn("take_tokens", F.col("tokens"))
     last = rows.where("prefix > 0").withColumn("epoch", F.col("epochs"))
-    last = last.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).cast("binary")))
-    last = last.withColumn("head", F.substring("place", 1, DIGITS))
-    heads = last.groupBy(*LEVELS, "head").agg(F.sum("tokens").alias("sum"))
-    before = W.partitionBy(*LEVELS).orderBy("head").rowsBetween(W.unboundedPreceding, -1)
-    heads = heads.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).select(*LEVELS, "head", "before")
-    inside = W.partitionBy(*LEVELS, "head").orderBy("place", "tokens", *also).rowsBetween(W.unboundedPreceding, -1)
-    last = last.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(heads, [*LEVELS, "head"])
-    left = F.col("prefix") - F.col("before") - F.col("inside")
+    identity = F.coalesce(F.col("doc_id").cast("string"), *[F.xxhash64(c).cast("string") for c in also], F.lit("?"))
+    last = last.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "epoch", identity).cast("binary")))
+    last = last.withColumns({"head": F.substring("place", 1, 2), "part": F.substring("place", 3, 2)})
+    parts = last.groupBy(*LEVELS, "head", "part").agg(F.sum("tokens").alias("sum"))
+    heads = parts.groupBy(*LEVELS, "head").agg(F.sum("sum").alias("sum"))
+
+    def before(sums: DataFrame, keys: list[str], by: str) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        return sums.withColumn(f"before_{by}", F.coalesce(F.sum("sum").over(w), F.lit(0))).drop("sum")
+
+    starts = before(parts, [*LEVELS, "head"], "part").join(before(heads, list(LEVELS), "head"), [*LEVELS, "head"])
+    inside = W.partitionBy(*LEVELS, "head", "part").orderBy("place", "tokens", *also).rowsBetween(W.unboundedPreceding, -1)
+    last = last.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, [*LEVELS, "head", "part"])
+    left = F.col("prefix") - F.col("before_head") - F.col("before_part") - F.col("inside")
     last = last.where(left > 0).withColumn("take_tokens", F.least("tokens", left))
     out = ["doc_id", *LEVELS, F.col("epoch").cast("int").alias("epoch"), "tokens", "take_tokens", *also]
-    return whole.select(*out).union(last.select(*out))
+    return scratch.finish(whole.select(*out).union(last.select(*out)))
 
 
 def number_in(column: str) -> Column:
@@ -120,6 +126,9 @@ def mixed(docs: DataFrame, part: tuple[int, int] = (9, 10), seed: int = 17) -> D
 
     Each row is taken by itself, also where doc_ids are null or repeated.
     """
-    rows = Scratch(docs.sparkSession, "mixed").placed(docs, "rows")  # the result reads it
-    taken = mix(document_leaves(rows, (PLACE,)), document_weights(), part=part, epochs=1, seed=seed, also=(PLACE,))
-    return rows.join(taken.where("take_tokens > 0 or tokens = 0").select(PLACE), PLACE, "left_semi").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    rows = scratch.located(docs, "rows")
+    leaves = document_leaves(rows, (PLACE,))
+    taken = mix(leaves, document_weights(), part=part, epochs=1, seed=seed, also=(PLACE,)).where("take_tokens > 0 or tokens = 0")
+    left = scratch.table(rows.select(PLACE).join(taken.select(PLACE), PLACE, "left_anti"), "left")  # the result reads it
+    return without(rows, left, PLACE).select(*docs.columns)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: The column that tells rows of a written table apart where doc_ids are null or repeated.
-PLACE = "umbra_place"
+#: The column that tells rows apart where doc_ids are null or repeated: the file and the row in it.
+PLACE, PLACE_TYPE = "umbra_place", "struct<file: string, row: bigint>"
+#: A key with more than one of so many rows is hot; at most so many keys can be.
+HOT = 4096
 #: Rows go to Python workers in batches of about this size, so that few long texts are held at once.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
@@ -27,6 +32,7 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    env.setdefault("OMP_NUM_THREADS", "1")  # tasks share the cores already
     spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
@@ -52,9 +58,11 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; our own only where none is set (tests)."""
+    """The folder all executors share, as the session names it; our own only where none is set and all run on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = Path(tempfile.gettempdir(), f"umbra-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,6 +70,12 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def _plain(project) -> bool:
+    """Whether a plan's projection only picks columns."""
+    items = project.projectList()
+    return all(items.apply(i).nodeName() == "AttributeReference" for i in range(items.size()))
+
+
 class Scratch:
     """Tables of one run under the shared folder."""
 
@@ -75,9 +89,25 @@ class Scratch:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def placed(self, df: DataFrame, name: str) -> DataFrame:
-        """A table of df with a unique PLACE for each row, which stays the same however often it is read."""
-        return self.table(df.withColumn(PLACE, F.monotonically_increasing_id()), name)
+    def located(self, df: DataFrame, name: str) -> DataFrame:
+        """df with PLACE: the file and the position in it that hold each row, which stay whatever is read again.
+
+        A table whose columns are as they were read has such places; anything else is written first.
+        """
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        plan = df._jdf.queryExecution().analyzed()
+        while plan.nodeName() in ("Filter", "SubqueryAlias") or (plan.nodeName() == "Project" and _plain(plan)):
+            plan = plan.children().head()
+        if plan.nodeName() == "LogicalRelation":
+            with contextlib.suppress(AnalysisException):  # of files whose rows have no such place
+                return df.withColumn(PLACE, place)
+        return self.table(df, name).withColumn(PLACE, place)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """A checkpoint of the run's result, without the run's tables."""
+        df = cut(df)
+        self.drop()
+        return df
 
     def drop(self, name: str = "") -> None:
         """Deletes a table (or all of the run's) that no later plan reads."""
@@ -92,15 +122,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions(df: DataFrame) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def remainder(column: str, m: int) -> Column:
     """crc32 of the id as text, modulo m."""
     return F.crc32(F.col(column).cast("string")) % m
 
 
+def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, count: str = "rows") -> DataFrame:
+    """rows joined with their key's one row in `keyed`, a written table whose column `count` has the number of rows of each key.
+
+    Hot keys, at most HOT of them whatever the input, are broadcast; so none of them brings its rows into one task.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(count) * HOT > total).drop(count))
+    rest = keyed.where(F.col(count) * HOT <= total).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
