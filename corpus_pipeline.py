@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from umbra.llm import exact_dedup, jaccard, langid, mixing, packing
 from umbra.llm.runtime import Scratch, documents, remainder
 
+#: Names of columns that no table of documents has.
+PREDICTED, SURE = "umbra_language", "umbra_certainty"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a language is recognised, which stands for a missing lang.
@@ -24,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))
     if model is None:
         return langid.lettered(docs)
-    found = langid.identify(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, model, (PREDICTED, SURE)).where(F.col(PREDICTED) != "und")
+    return found.withColumn("lang", F.coalesce("lang", PREDICTED)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,4 +64,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.table(stage(spark, docs, sf_dir), str(i))
         if i:
             scratch.drop(str(i - 1))
-    return docs
+    return scratch.finish(docs)
