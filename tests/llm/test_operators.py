@@ -252,9 +252,30 @@ def test_revisits(spark):
     assert warc.resolve(records.where("1 = 0")).count() == 0
 
 
-@pytest.mark.parametrize("url, canonical", [("HTTP://www.A.com:80/x/?b=2&a=1#f", "https://a.com/x?a=1&b=2"), ("https://a.com", "https://a.com"), ("https://a.com/X/", "https://a.com/X")])
+@pytest.mark.parametrize("url, canonical", [
+    ("HTTP://www.A.com:80/x/?b=2&a=1#f", "https://a.com/x?a=1&b=2"), ("https://a.com", "https://a.com"), ("https://a.com/X/", "https://a.com/X"), ("http://a.com:443/", "https://a.com:443"),
+    ("https://a.com:80/", "https://a.com:80"), ("ftp://a.com/b", "ftp://a.com/b"), ("foo.com/a", None), ("bar.org/b", None), ("/rel", None), ("", None), ("https:///x", None), (None, None),
+])
 def test_canonical_url(spark, url, canonical):
-    assert spark.range(1).select(warc.canonical_url(F.lit(url)).alias("u")).first().u == canonical
+    assert spark.range(1).select(warc.canonical_url(F.lit(url).cast("string")).alias("u")).first().u == canonical
+
+
+def test_revisits_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE_ROWS", 20)  # so that the hot URL is cut, most of its rows in one burst
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        hot, url = rng.random() < 0.6, None if rng.random() < 0.05 else f"https://u{rng.integers(0, 30)}"
+        at = int(rng.integers(500, 510)) if hot and rng.random() < 0.8 else int(rng.integers(0, 1000))
+        rows.append((i, "https://hot" if hot else url, at, bool(rng.random() < 0.4), f"e{rng.integers(0, 3)}" if rng.random() < 0.8 else None, f"m{rng.integers(0, 2)}", {"date": str(i)}, "b", 1, "z"))
+    records = spark.createDataFrame(rows, "record_id bigint, url string, at bigint, full boolean, etag string, modified string, headers map<string,string>, slice string, source int, cuts string")
+    want = []
+    for i, url, at, full, etag, modified, *_ in rows:
+        if not full:
+            held = max(((r[2], r[0], r[4], r[5]) for r in rows if r[3] and url is not None and r[1] == url and r[2] < at), default=None, key=lambda x: x[:2])
+            same = None if held is None else etag == held[2] if etag is not None and held[2] is not None else modified == held[3]
+            want.append((i, held and held[1], "unresolved" if held is None else "resolved" if same else "changed"))
+    assert sorted((r.record_id, r.refers_to, r.state) for r in warc.resolve(records).collect()) == want
 
 
 # ---- 7

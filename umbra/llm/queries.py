@@ -106,16 +106,15 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 ORACLE["op6_warc_revisits"] = r"""
 WITH u AS (
-    SELECT page_id, md5(coalesce(html, '')) AS etag, strlen(coalesce(html, '')) AS size, regexp_replace(trim(url), '#.*$', '') AS u FROM pages
+    SELECT page_id, md5(coalesce(html, '')) AS etag, strlen(coalesce(html, '')) AS size,
+        regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?([^#]*))?', ['scheme', 'host', 'path', 'mark', 'args']) AS u FROM pages
 ), p AS (
-    SELECT page_id, etag, size,
-        regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
-        regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-        array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '')), '&') AS args,
-        u IS NULL AS missing
+    SELECT page_id, etag, size, lower(u.scheme) AS scheme, rtrim(u.path, '/') AS path, list_sort(list_filter(string_split(u.args, '&'), lambda x: x <> '')) AS args,
+        CASE WHEN lower(u.scheme) = 'http' AND ends_with(u.host, ':80') THEN lower(u.host[:-4]) WHEN lower(u.scheme) = 'https' AND ends_with(u.host, ':443') THEN lower(u.host[:-5]) ELSE lower(u.host) END AS host
     FROM u
+), h AS (SELECT * REPLACE (CASE WHEN starts_with(host, 'www.') THEN host[5:] ELSE host END AS host, CASE scheme WHEN 'http' THEN 'https' ELSE scheme END AS scheme) FROM p
 ), c AS (
-    SELECT page_id, etag, size, CASE WHEN NOT missing THEN 'https://' || host || path || CASE WHEN args <> '' THEN '?' || args ELSE '' END END AS url FROM p
+    SELECT page_id, etag, size, CASE WHEN host <> '' THEN scheme || '://' || host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS url FROM h
 ), r AS (
     SELECT a.page_id, a.url, a.etag, f.page_id AS refers_to, f.etag AS stored, f.size,
         row_number() OVER (PARTITION BY a.page_id ORDER BY f.page_id DESC) AS k
