@@ -17,7 +17,7 @@ from umbra.llm.exact_dedup import dedup, duplicates_dropped
 from umbra.llm.graph import components
 from umbra.llm.jaccard import jaccard_components, least_overlap, near_duplicates_dropped
 from umbra.llm.linear import dual_coordinate_descent, margins
-from umbra.llm.packing import dot_product_bins, pack_documents, pack_turns
+from umbra.llm.packing import dot_product_bins, pack_conversations, pack_documents
 from umbra.llm.quality import indicators, quality_of
 from umbra.llm.textops import shingle_sets, word_hashes, word_spans
 from umbra.llm.wordbpe import WordBpe
@@ -231,10 +231,21 @@ def test_bins_keep_all_limits():
     assert (bins >= 0).all()
 
 
-def test_turns_have_their_own_loss_limit(spark):
-    turns = spark.createDataFrame([(i, 100, i % 2 == 0) for i in range(40)], "turn bigint, n bigint, assistant boolean")
-    rows = pack_turns(turns, "n", "assistant", (1000, 8, 300)).toPandas().groupby("sequence_id").agg({"n": "sum", "segments": "sum", "loss_tokens": "sum"})
-    assert (rows.n <= 1000).all() and (rows.segments <= 8).all() and (rows.loss_tokens <= 300).all()
+def test_conversations_keep_three_limits(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").limit(200)
+    odd_turns = spark.createDataFrame([(1, 1, None, None), (1, 2, "assistant", ""), (None, 3, "assistant", "word " * 3000), (1, 1, "user", "x" * 9000)], "conv_id bigint, turn bigint, role string, text string")
+    turns = turns.select("conv_id", "turn", "role", "text").union(odd_turns).withColumns({"doc_id": F.lit(1), "length": F.lit("z"), "segments": F.lit(0)})
+    limits = (1024, 6, 256)
+    rows = pack_conversations(turns, VOCABULARY, limits).toPandas()
+    sums = rows.groupby("sequence_id")[["length", "segments", "loss_tokens"]].sum()
+    assert (sums <= list(limits)).all().all()
+    assert all((sums[c] > 0.9 * most).any() for c, most in zip(sums, limits, strict=True))  # each limit binds somewhere
+    coder = WordBpe(VOCABULARY).exact
+    source = turns.toPandas()
+    tokens = sum(len(coder.encode(t or "", add_special_tokens=False).ids) + 1 for t in source.text)
+    loss = sum(len(coder.encode(t or "", add_special_tokens=False).ids) + 1 for t, r in zip(source.text, source.role, strict=True) if r == "assistant")
+    assert rows.length.sum() == tokens and rows.loss_tokens.sum() == loss
+    assert pack_conversations(turns.where("1 = 0"), VOCABULARY).count() == 0
 
 
 # ---- 6

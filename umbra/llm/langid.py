@@ -6,7 +6,7 @@ relative frequencies of byte bigrams and trigrams (A-Z folded, other ASCII non-l
 is a mean of weights over its n-grams: one pass, no vocabulary, any length.
 
 Fitted on at most ``PER_LANGUAGE`` rows of each language, drawn by a hash of the id from labelled rows that are not held
-out. Every label is a language of the model; its weights grow with the square of the number of families and of a
+out, and on the first of them that hold ``SLOTS`` n-grams together (one row at least). Every label is a language of the model; its weights grow with the square of the number of families and of a
 family's languages, and hold only the n-grams that the rows have.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled row all are ``und``; with
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.llm.linear import dual_coordinate_descent
-from umbra.llm.runtime import lean, remainder, ship
+from umbra.llm.runtime import Scratch, bounded, lean, remainder, ship
 from umbra.llm.textops import slices, texts_of
 
-PER_LANGUAGE, SIZE = 300, 1 << 16
+PER_LANGUAGE, SLOTS, SIZE = 300, 1 << 20, 1 << 16
 #: Branches of the languages that a corpus may hold; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -155,11 +155,13 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
             yield pa.record_batch([lang, at, pa.array(slot, pa.binary()), pa.array(share, pa.binary())], ["lang", "place", "slot", "share"])
 
     chosen = docs.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", place.alias("place"), "text")
-    rows = chosen.mapInArrow(run, "lang string, place bigint, slot binary, share binary").collect()  # at most PER_LANGUAGE a language
+    scratch = Scratch(docs.sparkSession, "language")
+    rows = scratch.table(chosen.mapInArrow(run, "lang string, place bigint, slot binary, share binary"), "rows")
     by_lang = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.lang, r.place, r.slot, r.share)):
-        if len(by_lang[r.lang]) < PER_LANGUAGE:
-            by_lang[r.lang].append((np.frombuffer(r.slot, np.int32), np.frombuffer(r.share, np.float32).astype(np.float64)))
+    first = bounded(rows, "lang", ["place", "slot", "share"], F.octet_length("slot") / 4, PER_LANGUAGE, SLOTS)
+    for r in sorted(first, key=lambda r: (r.lang, r.umbra_rank)):
+        by_lang[r.lang].append((np.frombuffer(r.slot, np.int32), np.frombuffer(r.share, np.float32).astype(np.float64)))
+    scratch.drop()
     return Model(by_lang) if by_lang else None
 
 

@@ -10,7 +10,7 @@ leaves one partly filled sequence at most per exhausted limit, a share that shri
 
 Defined cases: a null or empty text is a document of the end token alone; repeated rows are packed each by itself; a
 null doc_id stays null; an empty table gives no rows; other columns are ignored. Documents longer than a sequence are
-cut at multiples of the limit, so each token lies in exactly one piece.
+cut at multiples of the limit, so each token lies in exactly one piece. A null role bears no loss.
 """
 
 from __future__ import annotations
@@ -115,17 +115,27 @@ def pack(pieces: DataFrame, limits: dict[str, int], group: int = GROUP) -> DataF
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
     """Packs whole documents: every token bears loss, so the third limit equals the first."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.table(encode_pieces(docs, vocabulary, end_id, tokens), "pieces")
     demand = pieces.withColumns({"segments": F.lit(1).cast("bigint"), "loss_tokens": F.col("length")})
-    return pack(demand, {"length": tokens, "segments": segments, "loss_tokens": tokens})
+    return scratch.finish(pack(demand, {"length": tokens, "segments": segments, "loss_tokens": tokens}))
 
 
-def pack_turns(turns: DataFrame, count: str, bears_loss: str, limits: tuple[int, int, int]) -> DataFrame:
-    """Packs instruction turns given a token count column and a boolean column of loss-bearing turns."""
-    demand = turns.withColumns({
-        "segments": F.lit(1).cast("bigint"),
-        "loss_tokens": F.when(F.col(bears_loss), F.col(count)).otherwise(0).cast("bigint"),
-    })
-    return pack(demand, dict(zip((count, "segments", "loss_tokens"), limits, strict=True)))
+def pack_conversations(turns: DataFrame, vocabulary: str, limits: tuple[int, int, int] = (TOKENS, 24, 1536), bears_loss: str = "assistant", end_id: int = 2) -> DataFrame:
+    """conv_id, turn, start, length, segments, loss_tokens, sequence_id, offset for each piece of each turn.
+
+    `turns` has conv_id, turn, role and text; tokens of turns whose role is `bears_loss` bear loss. All three limits
+    hold at once; a turn is cut at multiples of what one sequence can take of it.
+    """
+    most, segments, loss = limits
+    scratch = Scratch(turns.sparkSession, "conversations")
+    rows = scratch.table(turns.select(F.monotonically_increasing_id().alias("doc_id"), "conv_id", "turn", "role", "text"), "turns")
+    asked = F.coalesce(F.col("role") == bears_loss, F.lit(False))
+    pieces = [
+        encode_pieces(rows.where(asked), vocabulary, end_id, min(most, loss)).withColumn("loss_tokens", F.col("length")),
+        encode_pieces(rows.where(~asked), vocabulary, end_id, most).withColumn("loss_tokens", F.lit(0).cast("bigint")),
+    ]
+    demand = scratch.table(pieces[0].union(pieces[1]).withColumn("segments", F.lit(1).cast("bigint")), "pieces")
+    packed = pack(demand, {"length": most, "segments": segments, "loss_tokens": loss})
+    out = ["conv_id", "turn", "start", "length", "segments", "loss_tokens", "sequence_id", "offset"]
+    return scratch.finish(packed.join(rows.select("doc_id", "conv_id", "turn"), "doc_id").select(*out))

@@ -5,10 +5,11 @@ words are scaled by the log-count ratios of the two classes, scaled to unit leng
 hinge-loss model is fitted by dual coordinate descent; the two fold into one weight for each n-gram. Margins of rows
 that a fold left out calibrate the score, with the classes weighted back to their share among the labels.
 
-Fitted on at most ``PER_CLASS`` rows of each class, drawn by a hash of the id from labelled rows that are not held out.
+Fitted on at most ``PER_CLASS`` rows of each class, drawn by a hash of the id from labelled rows that are not held out,
+and on the first of them that hold ``SLOTS`` n-grams together (one row at least).
 
 Defined cases: a null text counts as empty and scores as one without n-grams; rows with a null label are not learned
-from; of several labels of a row each counts; if a class has no row, the score is the share of label 1 (0.5 with no
+from; of several labels of a row each counts once; if a class has no row, the score is the share of label 1 (0.5 with no
 label at all); a null doc_id stays; repeated rows are scored each; an empty table gives no rows; other columns are
 ignored.
 """
@@ -23,16 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.linear import dual_coordinate_descent, logistic, margins
-from umbra.llm.runtime import lean, remainder, ship
+from umbra.llm.runtime import Scratch, bounded, lean, remainder, ship
 from umbra.llm.textops import slices, texts_of, words_of
 
-PER_CLASS, BITS, THRESHOLD, SMOOTH = 2500, 17, 0.3, 1.0
-SIZE = 1 << BITS
+PER_CLASS, SLOTS, BITS, THRESHOLD, SMOOTH = 2500, 6_000_000, 17, 0.3, 1.0
+#: Slots of n-grams, then one for each power of two of repeated words.
+SIZE, REPEATS = (1 << BITS) + 32, 1 << BITS
 
 
 def indicators(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram slots of each text."""
-    shift, seen = np.uint32(32 - BITS), np.zeros(SIZE, bool)
+    shift, seen = np.uint32(32 - BITS), np.zeros(SIZE, bool)  # n-grams hash into the first 1 << BITS
     for a, b in slices(texts):
         part = texts[a:b]
         buf = np.frombuffer(b"\n".join([*part, b"\n\n\n\n"]), np.uint8).astype(np.uint32)
@@ -48,7 +50,7 @@ def indicators(texts: list[bytes]) -> Iterator[np.ndarray]:
                 seen[g[at : at + max(0, len(t) - n)]] = True
             run = again[bound[i] : max(bound[i], bound[i + 1] - 1)]
             if run.any():
-                seen[int(np.log2(run.sum())) + 1] = True
+                seen[REPEATS + int(np.log2(run.sum()))] = True
             nz = np.flatnonzero(seen)
             seen[nz] = False
             yield nz.astype(np.int32)
@@ -95,7 +97,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Da
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & (remainder("doc_id", 5) != 0))
+    known = known.where(F.col("label").isin(0, 1) & (remainder("doc_id", 5) != 0)).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
@@ -103,7 +105,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Da
     if len(counts) == 2:
         place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
         share = F.when(F.col("label") == 1, int(min(1, PER_CLASS / counts[1]) * (1 << 31))).otherwise(int(min(1, PER_CLASS / counts[0]) * (1 << 31)))
-        sample = known.where(place < share)
+        sample = known.where(place < share)  # about PER_CLASS distinct ids of each label
 
         @lean
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +113,11 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Da
                 found = [s.tobytes() for s in indicators(texts_of(batch.column(2)))]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["label", "place", "slots"])
 
-        joined = docs.where("doc_id is not null").join(F.broadcast(sample), "doc_id")  # the sample is bounded by PER_CLASS
-        rows = joined.select("label", place.alias("place"), "text").mapInArrow(sets, "label int, place bigint, slots binary").collect()
-        rows = sorted(rows, key=lambda r: (r.place, r.label, r.slots))
-        kept = [r for c in (0, 1) for r in [x for x in rows if x.label == c][:PER_CLASS]]
+        scratch = Scratch(spark, "quality")
+        joined = docs.where("doc_id is not null").join(F.broadcast(sample), "doc_id").select("label", place.alias("place"), "text")
+        rows = scratch.table(joined.mapInArrow(sets, "label int, place bigint, slots binary"), "rows")
+        kept = bounded(rows, "label", ["place", "slots"], F.octet_length("slots") / 4, PER_CLASS, SLOTS)
+        scratch.drop()
         kept.sort(key=lambda r: (r.place, r.label, r.slots))
         y = np.array([r.label for r in kept], np.int64)
         if min((y == 0).sum(), (y == 1).sum()) >= 2:

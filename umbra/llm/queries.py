@@ -11,7 +11,7 @@ from umbra.llm import attribution, mixing, warc
 from umbra.llm.exact_dedup import dedup
 from umbra.llm.jaccard import jaccard_components
 from umbra.llm.langid import language_of
-from umbra.llm.packing import pack_documents
+from umbra.llm.packing import pack_conversations, pack_documents
 from umbra.llm.quality import quality_of
 from umbra.llm.runtime import documents
 from umbra.llm.sharding import shard_documents
@@ -86,6 +86,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+@query
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing operator where loss-bearing tokens are a limit of their own: instruction data."""
+    return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 ORACLE["op7_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

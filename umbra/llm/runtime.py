@@ -14,8 +14,9 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: The column that tells rows apart where doc_ids are null or repeated: the file and the row in it.
@@ -138,5 +139,13 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, count: str = "rows")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
+def bounded(rows: DataFrame, by: str, order: list[str], size: Column, most: int, total: int) -> list[Row]:
+    """Of each value of `by` the first `most` rows, as far as their sizes add up to `total` (one row at least), in the driver."""
+    first = W.partitionBy(by).orderBy(*order)
+    rows = rows.withColumn("umbra_rank", F.row_number().over(first)).where(F.col("umbra_rank") <= most)
+    held = F.sum(size).over(W.partitionBy(by).orderBy("umbra_rank"))
+    return rows.withColumn("umbra_held", held).where((F.col("umbra_held") <= total) | (F.col("umbra_rank") == 1)).collect()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

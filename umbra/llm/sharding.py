@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 from umbra.llm.runtime import Scratch
 
-BINS = 1024
+BINS = 1 << 14
 TOLERANCE = 0.0005
 GROUP_SHARE = 0.02
 SLOT_ROWS = 20_000
@@ -71,7 +71,6 @@ def _place(n: Node, leaf=lambda n: F.lit(n.id)) -> Column:
 
 def _search(items: DataFrame, place: Column, nodes: list[Node], slack: int, group: int) -> None:
     """Sets each node's split point; one aggregation a round for all of them."""
-    spark = items.sparkSession
     open_ = list(nodes)
     while open_:
         want = {n.id: n.weight * (n.shards // 2) // n.shards for n in open_}
@@ -110,7 +109,6 @@ def _search(items: DataFrame, place: Column, nodes: list[Node], slack: int, grou
                 # the whole bin goes to the side that leaves the smaller error
                 n.hi = after if want[n.id] - run > run + inside - want[n.id] else lo
         open_ = still
-    del spark
 
 
 def kd_shards(items: DataFrame, shards: int, dims: list[str]) -> tuple[Column, list[Node]]:
@@ -175,6 +173,6 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     items = scratch.table(items, "items")
     shard, _ = kd_shards(items, shards, ["d_size", "d_lines", "d_accents"])
     placed = scratch.table(items.select("doc_id", "size", "text_crc32", "row_key", shard.cast("int").alias("shard")), "placed")
-    return slots(placed, "shard", "row_key").select(
+    return scratch.finish(slots(placed, "shard", "row_key").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    ))
