@@ -12,11 +12,11 @@ MOST_BITS, BUCKET = 1 << 28, 1 << 15
 
 
 class Membership:
-    """A bitmap of the hashed keys of a written table, eight bits or more a key until `MOST_BITS`; none beyond that."""
+    """A bitmap of the hashed keys of a written table, 32 bits or more a key until `MOST_BITS`; none beyond that."""
 
     def __init__(self, keys: DataFrame, *columns: str):
         n = keys.count()
-        self.bits = max(BUCKET, min(MOST_BITS, 1 << max(0, 8 * n - 1).bit_length()))
+        self.bits = max(BUCKET, min(MOST_BITS, 1 << max(0, 32 * n - 1).bit_length()))
         self.bitmap = None
         if 4 * n <= self.bits:
             at = self._place(*[F.col(c) for c in columns])

@@ -44,6 +44,8 @@ from umbra.llm.runtime import HOT, Scratch, cut, keyed_join, lean
 from umbra.llm.textops import mix, shingle_sets, texts_of
 
 SKETCH_BITS, RANGES = 22, 64
+#: Bins of a set's outline, which counts its shingles by their last byte.
+BINS = 256
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -99,14 +101,14 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """doc_id, n_shingles, fingerprint, prefix (rarest first, as hashes) and the cost of scanning the prefix's lists."""
+    """doc_id, n_shingles, fingerprint, prefix (rarest first, as hashes), the cost of scanning the prefix's lists, outline."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, noise = classes.value
         for batch in batches:
-            ids, n, fp, prefix, scan = batch.column(0), [], [], [], []
+            ids, n, fp, prefix, scan, outline = batch.column(0), [], [], [], [], []
             for s in shingle_sets(texts_of(batch.column(1)), k):
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -117,15 +119,18 @@ def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
                     prefix.append(first.tobytes())
                     held = 2.0 ** (rank[(first >> shift).astype(np.int64)] / 8)
                     scan.append(float(np.maximum(1.0, held - noise).sum()))
+                    bins = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+                    outline.append(bins.astype(np.uint8 if bins.max() < 256 else "<u4").tobytes())
                 else:
                     prefix.append(None)
                     scan.append(0.0)
+                    outline.append(None)
             yield pa.record_batch(
-                [ids, pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(scan, pa.float64())],
-                ["doc_id", "n_shingles", "fp", "prefix", "scan"],
+                [ids, pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(scan, pa.float64()), pa.array(outline, pa.binary())],
+                ["doc_id", "n_shingles", "fp", "prefix", "scan", "outline"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, prefix binary, scan double")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, prefix binary, scan double, outline binary")
 
 
 def boundary(classes: DataFrame, percent: int) -> int:
@@ -196,32 +201,50 @@ def _dealt(rows: DataFrame, pairs: DataFrame, sets: DataFrame, node: str, other:
     busy = F.broadcast(load.where(F.col("count") > spread).select(node, F.expr(f"int(count div {spread}) + 1").alias("parts")))  # HOT rows at most
     one = F.coalesce("parts", F.lit(1))
     left = rows.join(busy, node, "left").withColumn("deal", F.pmod(F.xxhash64(other), one).cast("int")).drop("parts")
-    right = sets.select(F.col("node").alias(node), F.col("words").alias(words)).join(busy, node, "left")
+    right = sets.where(f"is_{node}").select(F.col("node").alias(node), F.col("words").alias(words)).join(busy, node, "left")
     right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
     return left.join(right, [node, "deal"]).drop("deal")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table whose whole sets link."""
+def _compared(pairs: DataFrame, sides: DataFrame, held) -> DataFrame:
+    """The pairs (a, b) of a written table for whose sides, as bytes, held(x, y) is true."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [held(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = _dealt(_dealt(pairs, pairs, sets, "b", "a", "words_b"), pairs, sets, "a", "b", "words_a")
+    both = _dealt(_dealt(pairs, pairs, sides, "b", "a", "words_b"), pairs, sides, "a", "b", "words_a")
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def outlines_allow(percent: int):
+    """Whether two sets can link by their outlines: in each bin they share no more than the smaller count."""
+
+    def held(x: bytes, y: bytes) -> bool:
+        x, y = (np.frombuffer(o, np.uint8 if len(o) == BINS else "<u4").astype(np.int64) for o in (x, y))
+        most = int(np.minimum(x, y).sum())
+        return 100 * most >= percent * (int(x.sum()) + int(y.sum()) - most)
+
+    return held
+
+
+def sets_link(percent: int):
+    """Whether two whole sets link."""
+
+    def held(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return held
+
+
 def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the nodes, a written table; only their documents pass the filter before any shuffle."""
+    """The nodes of a written table with their whole shingle sets; only their documents pass the filter before any shuffle."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,30 +253,48 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(words, pa.binary())], ["node", "words"])
 
     near = Membership(nodes, "node").near(docs, F.col("doc_id"))
-    return near.select("doc_id", "text").mapInArrow(run, "node bigint, words binary").join(nodes, "node", "left_semi")
+    return near.select("doc_id", "text").mapInArrow(run, "node bigint, words binary").join(nodes, "node")
+
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs, and on which side they stand."""
+    ends = [pairs.select(F.col(c).alias("node"), F.lit(c == "a").alias("is_a"), F.lit(c == "b").alias("is_b")) for c in ("a", "b")]
+    return ends[0].union(ends[1]).groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs of a written table that link."""
-    nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}_nodes")
-    sets = scratch.table(_whole_sets(docs, nodes, k), f"{name}_sets")
-    linked = scratch.table(_verify(pairs, sets, percent), f"{name}_links")
+
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs of a written table that link: by their outlines first, so that few whole sets move."""
+    nodes = scratch.table(_nodes(pairs), f"{name}_ends")
+    known = sets.where("outline is not null").select(F.col("doc_id").alias("node"), F.col("outline").alias("words"))
+    known = scratch.table(Membership(nodes, "node").near(known, F.col("node")).join(nodes, "node"), f"{name}_outlines")
+    pairs = scratch.table(_compared(pairs, known, outlines_allow(percent)).distinct(), f"{name}_pairs")
+    nodes = scratch.table(_nodes(pairs), f"{name}_nodes")
+    whole = scratch.table(_whole_sets(docs, nodes, k), f"{name}_sets")
+    linked = scratch.table(_compared(pairs, whole, sets_link(percent)), f"{name}_links")
     scratch.drop(f"{name}_sets")
     return linked
 
 
-def _lists(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """key, node, n, pos and the hub of each list that holds two nodes or more."""
+def _lists(groups: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the lists of two; key, node, n, pos and the hub of the longer lists.
+
+    One aggregation tells all about a list of two, so its members needn't be fetched.
+    """
     wide = groups.where("prefix is not null")
     postings = scratch.table(_postings(wide, percent, boundary(wide, percent)), "postings")
-    multi = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    multi = scratch.table(multi.select("key", "rows"), "multi")
-    near = Membership(multi, "key").near(postings, F.col("key"))  # most keys have one set: they needn't be shuffled again
-    lists = keyed_join(near, multi, "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
+    found = postings.groupBy("key").agg(
+        F.min("node").alias("a"), F.max("node").alias("b"), F.min("size_pos").alias("less"), F.max("size_pos").alias("more"), F.count("*").alias("rows"),
+    ).where("a < b")
+    found = scratch.table(found, "found_keys")
+    ends = {f"{c}_{x}": F.expr(f"{x} {op}") for x in ("less", "more") for c, op in (("n", ">> 32"), ("pos", "& 4294967295"))}
+    twos = found.where("rows = 2").withColumns(ends).where(_possible(percent, "n_less", "pos_less", "n_more", "pos_more")).select("a", "b").distinct()
+    many = scratch.table(found.where("rows > 2").select("key", "rows"), "many")
+    near = Membership(many, "key").near(postings, F.col("key"))  # most keys have one set: they needn't be shuffled again
+    lists = keyed_join(near, many, "key").select("key", "node", F.expr("size_pos >> 32").alias("n"), F.expr("size_pos & 4294967295").alias("pos"))
     lists = scratch.table(lists, "shared")
     scratch.drop("postings")
     hubs = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("rows"))
-    return scratch.table(keyed_join(lists, scratch.table(hubs, "hubs"), "key"), "lists")
+    return twos, scratch.table(keyed_join(lists, scratch.table(hubs, "hubs"), "key"), "lists")
 
 
 def _still_apart(lists: DataFrame, labels: DataFrame, star: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -297,18 +338,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     own = keyed_join(sets.where("fp is not null").select("doc_id", "fp").join(several, "doc_id", "left_semi"), node_of, "fp")
     own = scratch.table(own.where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct(), "own")
 
-    lists = _lists(groups, percent, scratch)
+    twos, lists = _lists(groups, percent, scratch)
     star = (
         lists.where(F.col("hub.node") != F.col("node"))
         .where(_possible(percent, "n", "pos", "hub.n", "hub.pos"))
-        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).union(twos).distinct()
     )
     star = scratch.table(star, "star")
-    linked = _links(star, docs, k, percent, scratch, "star").union(own)
+    linked = _links(star, docs, sets, k, percent, scratch, "star").union(own)
     labels = components(linked)
     rest = scratch.table(_still_apart(lists, labels, star, percent, scratch), "rest")
     if not rest.isEmpty():
-        labels = components(linked.union(_links(rest, docs, k, percent, scratch, "rest")))
+        labels = components(linked.union(_links(rest, docs, sets, k, percent, scratch, "rest")))
 
     found = scratch.table(node_of.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"), "rows"), "found")
     texts = keyed_join(sets.where("fp is not null and doc_id is not null").select("doc_id", "n_shingles", "fp"), found, "fp").drop("fp")
