@@ -96,11 +96,17 @@ def _files(parser: argparse.ArgumentParser, policy: Policy, salt: bytes, args: a
     folded = corpus.sanitise(taken, policy, salt).cache()
     placed = folded.where("error is null").withColumn("text", tree.marked_text(F.col("lines"), F.col("vendor"), F.col("crlf")))
     failed = tree.write_tree(placed).where("error is not null").union(folded.where("error is not null").select("dest", "error")).collect()
-    found = reports.top_findings(corpus.findings(folded, "path"), "path").orderBy("path", "check", "rank").collect()
-    for f in found:
-        print(f"{f.path}: L{f.line} [{f.check}] {f.text}" + (f" ... {f.more} more" if f.rank == 5 and f.more else ""), file=sys.stderr)
+    found = False
+    for f in reports.top_findings(corpus.findings(folded, "path"), "path").orderBy("path", "check", "rank").toLocalIterator():
+        found = True  # lines count from the marker, the first of the written file
+        print(f"{f.path}: L{f.line + 1} [{f.check}] {f.text}" + (f" ... {f.more} more" if f.rank == 5 and f.more else ""), file=sys.stderr)
     for f in failed:
         print(f"{f.dest}: {f.error}", file=sys.stderr)
+    kept = folded.select(F.explode("clashes").alias("address")).distinct()
+    clashing = kept.count()
+    if clashing:
+        sample = ", ".join(r.address for r in kept.orderBy("address").limit(5).collect())
+        print(f"warning: {clashing} kept addresses lie inside a pseudonym pool: {sample}", file=sys.stderr)
     if args.report:
         print(f"policy: {policy.summary()}", file=sys.stderr)
         for r in reports.by_family(corpus.hits(folded, "path").where("action <> 'keep'")).orderBy(F.desc("hits")).collect():
@@ -108,9 +114,8 @@ def _files(parser: argparse.ArgumentParser, policy: Policy, salt: bytes, args: a
         for r in reports.skip_tally(files).collect():
             print(f"{r.n:8} skipped: {r.reason}", file=sys.stderr)
     if args.map_out:
-        rows = corpus.mapping(folded, "path").collect()
         mapping: dict = {}
-        for r in rows:
+        for r in corpus.mapping(folded, "path").toLocalIterator():
             mapping.setdefault(r.path, {}).setdefault(r.kind, {})[r.original] = r.pseudonym
         tree.write_mapping(mapping, args.map_out)
     return 1 if failed else 2 if found and args.strict else 0

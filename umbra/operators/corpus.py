@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from umbra.plans.document import Sanitiser
 from umbra.plans.policy import Policy
+from umbra.plans.verification import verify
 
 _HIT = "struct<line:int,seq:int,rule:string,family:string,value:string,action:string,rendered:string>"
 FOLDED = (
@@ -78,6 +79,27 @@ def sanitise(docs: DataFrame, policy: Policy | None = None, salt: bytes = b"", t
     return rows.mapInArrow(run, schema)
 
 
+def survivors(docs: DataFrame, policy: Policy | None = None, text: str = "text") -> DataFrame:
+    """All columns but the text, and line, check, text of what texts still hold that the policy meant to go."""
+    policy = policy or Policy()
+    policy.validate()
+    importable(docs.sparkSession)
+    kept = [c for c in docs.columns if c != text]
+    rows = docs.select(*kept, F.col(text).cast("string").alias("umbra_text"))
+    found = "array<struct<line:int,check:string,text:string>>"
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("umbra_found", T._parse_datatype_string(found))])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(schema["umbra_found"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [[{"line": n, "check": c, "text": t} for n, c, t in verify((x or "").splitlines(), policy)] for x in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(seen, kind)], names=[*kept, "umbra_found"])
+
+    return rows.mapInArrow(run, schema).select(*kept, F.explode("umbra_found").alias("x")).select(*kept, "x.*")
+
+
 def _unfold(folded: DataFrame, array: str, keys: list[str]) -> DataFrame:
     return folded.select(*keys, F.explode(array).alias("x")).select(*keys, "x.*")
 

@@ -8,6 +8,7 @@ before. Since all slots prefer the same order, this ends in exactly what inserti
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +45,10 @@ def declared(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/umbra-{os.getpid()}")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/umbra-{os.getpid()}")
     return df.checkpoint()
 
 

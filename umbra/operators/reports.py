@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from umbra.functions.rewrite import java
 from umbra.plans import rulebook as book
+from umbra.plans.guards import ODD, needs
 from umbra.plans.policy import Policy
 
 
 def vendor(text: Column) -> Column:
-    """The vendor with the largest sum of hint weights, each hint once; the earlier one at a tie; else unknown."""
+    """The vendor with the largest sum of hint weights, each hint once; the earlier one at a tie; else unknown.
+
+    A hint is tried only on texts that hold one of the literals which all its matches have.
+    """
+    low, odd = F.lower(text), text.rlike(f"[{ODD}]")
+
+    def hint(pattern: str) -> Column:
+        wanted = needs(re.compile(pattern, re.I | re.M))
+        held = text.rlike("(?imU)" + pattern)
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in sorted(wanted)], odd) & held if wanted else held
+
     scores = [
-        F.struct(sum((F.when(text.rlike("(?imU)" + p), w).otherwise(0) for p, w in hints), F.lit(0)).alias("score"), F.lit(-i).alias("order"), F.lit(v).alias("vendor"))
+        F.struct(sum((F.when(hint(p), w).otherwise(0) for p, w in hints), F.lit(0)).alias("score"), F.lit(-i).alias("order"), F.lit(v).alias("vendor"))
         for i, (v, hints) in enumerate(book.VENDOR_HINTS.items())
     ]
     best = F.array_max(F.array(*scores))

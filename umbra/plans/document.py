@@ -14,6 +14,7 @@ from functools import lru_cache
 
 from umbra.plans import rulebook as book
 from umbra.plans import structure
+from umbra.plans.guards import ANYTHING, Present
 from umbra.plans.policy import Policy
 from umbra.plans.rendering import Renderer, mask_like, parse_address
 
@@ -28,6 +29,10 @@ _LABEL = {
 _STEPS = [(kind, how, re.compile(p, 0 if how == "block" else re.I), (*more, None)[0]) for kind, how, p, *more in book.OPERATIONAL_STEPS]
 _PARENTS = [(kind, re.compile(p, re.I)) for kind, p in book.TERM_PARENTS]
 _GROUPS, _FACTORY = re.compile(book.GROUPS_OPEN, re.I), re.compile(book.FACTORY_INTERFACES, re.I)
+_FIRST = [s for i, s in enumerate(_STEPS) if "fortios-interface" not in [k for k, *_ in _STEPS[: i + 1]]]  # before the open blocks are brought up to date
+_REST = _STEPS[len(_FIRST) :]
+#: what an address needs somewhere in its line
+_QUAD_HINT, _MAC_HINT = re.compile(r"\d\.\d"), re.compile(r"[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}")
 ASN_ONE, ASN_PATH, ASN = [re.compile(p, re.I) for p in book.ASN_ONE], re.compile(book.ASN_PATH, re.I), re.compile(book.ASN)
 
 
@@ -68,19 +73,21 @@ def _hints() -> tuple:
     return tuple((v, re.compile(p, re.I | re.M), w) for v, hints in book.VENDOR_HINTS.items() for p, w in hints)
 
 
-def vendor_of(text: str) -> str:
+def vendor_of(text: str, present=None) -> str:
     scores: Counter = Counter()
+    present = present or Present(text)
     for vendor, pattern, weight in _hints():
-        if pattern.search(text):
+        if present.may(pattern) and pattern.search(text):
             scores[vendor] += weight
     return scores.most_common(1)[0][0] if scores else "unknown"
 
 
-def identities(lines: list[str]) -> list[tuple[str, str, int]]:
+def identities(lines: list[str], present=ANYTHING) -> list[tuple[str, str, int]]:
     """(family, value, first line) of declared names, each once without regard to case."""
     found: dict[tuple[str, str], tuple[str, str, int]] = {}
     section: tuple[str, ...] = ()
     config = structure.ConfigStack()
+    plain, scoped, sectioned = ([x for x in xs if present.may(x[-1])] for xs in (_COLLECT, _SCOPED, _SECTIONED))
 
     def add(family: str, value: str, at: int) -> None:
         value = value.strip()
@@ -88,15 +95,17 @@ def identities(lines: list[str]) -> list[tuple[str, str, int]]:
             found.setdefault((family, value.lower()), (family, value, at))
 
     for at, line in enumerate(lines, 1):
-        section = structure.section_of(line, section)
-        inside = config.scopes()
-        config.feed(line)
-        sources = [(f, p) for f, s, p in _SCOPED if s & set(inside)] + [(f, p) for f, s, p in _SECTIONED if s & set(section)] + _COLLECT
+        sources = plain
+        if scoped or sectioned:
+            section = structure.section_of(line, section)
+            inside = config.scopes()
+            config.feed(line)
+            sources = [(f, p) for f, s, p in scoped if s & set(inside)] + [(f, p) for f, s, p in sectioned if s & set(section)] + plain
         for family, pattern in sources:
             if m := pattern.search(line):
                 for part in re.split(r"[,\s]+", m.group(1)) if family == "domains" else [m.group(1)]:
                     add(family, part.strip('";[]' if family == "domains" else '";'), at)
-        for m in EMAIL.finditer(line):
+        for m in EMAIL.finditer(line) if "@" in line else ():
             add("emails", m.group(), at)
             add("domains", m.group().partition("@")[2], at)
     return list(found.values())
@@ -105,7 +114,10 @@ def identities(lines: list[str]) -> list[tuple[str, str, int]]:
 class Operational:
     """Typed operational names: declarations and references get equal tags, so nothing is allotted."""
 
-    def __init__(self, policy: Policy, renderer: Renderer, count) -> None:
+    def __init__(self, policy: Policy, renderer: Renderer, count, present=ANYTHING) -> None:
+        self.first, self.rest = ([s for s in steps if s[1] in ("term", "block") or present.may(s[2])] for steps in (_FIRST, _REST))
+        self.sections, self.configs = present.may(structure.SECTION), present.may(structure.CONFIG)
+        self.braces = present is ANYTHING or "{" in present.low or "}" in present.low
         self.actions = {k: policy.action("operational-names", k) for k in book.OPERATIONAL}
         self.renderer, self.count = renderer, count
         self.depth, self.groups_at = 0, None
@@ -142,33 +154,45 @@ class Operational:
         bare = value.split("%", 1)[0]
         return value if parse_address(bare, 4) or parse_address(bare, 6) else self.rendered("peer-group", value)
 
-    def line(self, text: str) -> str:
+    def _step(self, text: str, step: tuple, inside: set[str]) -> str:
+        kind, how, pattern, scope = step
+        if (scope and scope not in inside) or (how == "term" and not self.parents) or (how == "block" and self.depth != self.groups_at):
+            return text
+        if how == "each":
+            token = r'"[^"]*"|\S+' if kind == "fortios-interface" else r"[^\s{};]+" if kind == "configuration-group" else r"\S+"
+            return pattern.sub(lambda m: m[1] + re.sub(token, lambda t: self._one(kind, t[0]), m[2]) + m[3], text)
+        if how == "term":
+            _, owner, name = self.parents[-1]
+            return pattern.sub(lambda m: m[1] + self.rendered(owner, m[2], name), text)
+        if how == "named":
+            return pattern.sub(lambda m: m[1] + m[2] + m[3] + self.rendered(kind, m[4], m[2]), text)
+        if how == "peer":
+            return pattern.sub(lambda m: m[1] + self._peer(m[2]), text)
+        return pattern.sub(lambda m: m[1] + self._one(kind, m[2]), text)
+
+    def line(self, text: str, changed: bool = False) -> str:
+        """One line; once it differs from the document's, every step is tried on it."""
         before = text
-        self.section = structure.section_of(text, self.section)
-        inside, fed = {*self.section, *self.config.scopes()}, False
+        self.section = structure.section_of(text, self.section) if self.sections or changed else self.section
+        inside = {*self.section, *self.config.scopes()}
         if self.groups_at is not None and self.depth < self.groups_at:
             self.groups_at = None
-        for kind, how, pattern, scope in _STEPS:
-            if kind == "fortios-interface" and not fed:
+        for every, likely in ((_FIRST, self.first), (_REST, self.rest)):
+            steps, at = every if changed else likely, 0
+            while at < len(steps):
+                new = self._step(text, steps[at], inside)
+                at += 1
+                if new != text:
+                    if not changed:
+                        at, steps, changed = every.index(steps[at - 1]) + 1, every, True
+                    text = new
+            if every is _FIRST and (self.configs or changed):
                 self.config.feed(text)
-                fed = True
-            if (scope and scope not in inside) or (how == "term" and not self.parents) or (how == "block" and self.depth != self.groups_at):
-                continue
-            if how == "each":
-                token = r'"[^"]*"|\S+' if kind == "fortios-interface" else r"[^\s{};]+" if kind == "configuration-group" else r"\S+"
-                text = pattern.sub(lambda m: m[1] + re.sub(token, lambda t: self._one(kind, t[0]), m[2]) + m[3], text)  # noqa: B023
-            elif how == "term":
-                _, owner, name = self.parents[-1]
-                text = pattern.sub(lambda m: m[1] + self.rendered(owner, m[2], name), text)  # noqa: B023
-            elif how == "named":
-                text = pattern.sub(lambda m: m[1] + m[2] + m[3] + self.rendered(kind, m[4], m[2]), text)  # noqa: B023
-            elif how == "peer":
-                text = pattern.sub(lambda m: m[1] + self._peer(m[2]), text)
-            else:
-                text = pattern.sub(lambda m: m[1] + self._one(kind, m[2]), text)  # noqa: B023
+        if not self.braces:
+            return text
         opens = before.count("{")
-        parent = next(((kind, m[1]) for kind, p in _PARENTS if (m := p.match(before))), None)
-        if parent and opens:
+        parent = next(((kind, m[1]) for kind, p in _PARENTS if (m := p.match(before))), None) if opens else None
+        if parent:
             self.parents.append((self.depth + opens, *parent))
         if opens and _GROUPS.match(before):
             self.groups_at = self.depth + opens
@@ -192,9 +216,18 @@ def spans(rule: book.Rule, m: re.Match) -> list[tuple[int, int]]:
     return out
 
 
-def rewrite(line: str, scopes: frozenset[str], rules: tuple[book.Rule, ...], decide) -> str:
-    """The rules over one line, each seeing what those before it left; decide(rule, value) gives a text or None."""
-    for rule in rules:
+def rewrite(line: str, scopes: frozenset[str], rules: tuple[book.Rule, ...], decide, every: tuple[book.Rule, ...] = ()) -> str:
+    """The rules over one line, each seeing what those before it left; decide(rule, value) gives a text or None.
+
+    `rules` may hold only the rules of `every` that the line may match; once it has changed, all the rest are tried.
+    """
+    turn, before = 0, line
+    while turn < len(rules) or (every and line != before):
+        if every and line != before:
+            turn, rules, every = every.index(rules[turn - 1]) + 1, every, ()
+            continue
+        rule = rules[turn]
+        turn += 1
         if (rule.inside and rule.inside not in scopes) or (rule.outside and rule.outside in scopes):
             continue
         found = [m] if rule.form != "search" and (m := rule.regex.match(line)) else list(rule.regex.finditer(line)) if rule.form == "search" else []
@@ -216,14 +249,22 @@ def rewrite(line: str, scopes: frozenset[str], rules: tuple[book.Rule, ...], dec
     return line
 
 
-def rewrite_units(lines: list[str], rules: tuple[book.Rule, ...], decide, banners: str, finish=lambda line: line, begin=lambda at: None) -> list[str]:
+def rewrite_units(lines: list[str], rules: tuple[book.Rule, ...], decide, banners: str, finish=lambda line, changed: line, begin=lambda at: None, present=ANYTHING) -> list[str]:
     """All units rewritten; blocks and banners hold one value each and their lines aren't finished."""
+    likely = rules if present is ANYTHING else tuple(r for r in rules if present.may(r.regex))
+    if not likely and structure.plain(present):
+        kept = []
+        for line in lines:
+            begin(len(kept) + 1)
+            kept.append(finish(line, False))
+        return kept
     out: list[str] = []
-    for u in structure.units(lines, banners):
+    for u in structure.units(lines, banners, present):
         begin(len(out) + 1)
         value = "\n".join(u.body).strip() if u.kind != "inline" else "".join(u.body)
         if u.kind == "line":
-            out.append(finish(rewrite(u.text, u.scopes, rules, decide)))
+            new = rewrite(u.text, u.scopes, likely, decide, rules if len(likely) < len(rules) else ())
+            out.append(finish(new, new != u.text))
             continue
         new = decide(u.rule, book.RULE_FAMILY[u.rule], value) if value else None
         if u.kind == "kept":
@@ -248,10 +289,16 @@ class Sanitiser:
         self.actions |= {f: policy.family_action(f) for f in book.NAME_FAMILIES}
         self.out = Outcome([])
         self.at, self.seen_macs, self.seen_asns = 1, set(), set()
-        self.names: list[tuple[re.Pattern, str]] = []
-        self.operational = Operational(policy, self.renderer, self._note)
+        self.names: list[tuple[re.Pattern, str, str | None]] = []
+        self.look(None)
         self.log: list[tuple[str, str]] | None = None
 
+    def look(self, text: str | None) -> None:
+        """Notes which patterns the document's text can match at all."""
+        self.present = ANYTHING if text is None else Present(text)
+        self.quads, self.pairs = (text is None or bool(p.search(text)) for p in (_QUAD_HINT, _MAC_HINT))
+        self.operational = Operational(self.policy, self.renderer, self._note, self.present)
+
     def _note(self, name: str, family: str, value: str, action: str, new: str) -> None:
         """Counts one value: as kept, as changed, or (if it came out equal under an action) not at all."""
         if action == "keep":
@@ -317,29 +364,41 @@ class Sanitiser:
             self.seen_asns.add(new.lower())
         return new
 
-    def finish(self, line: str) -> str:
+    def finish(self, line: str, changed: bool = False) -> str:
         """Operational names, AS numbers, addresses and learned names, in this order."""
-        line = self.operational.line(line)
+        given = line
+        line = self.operational.line(line, changed)
+        changed = changed or line != given
         for p in ASN_ONE:
-            line = p.sub(lambda m: m[1] + self._asn(m[2]), line)
-        line = ASN_PATH.sub(lambda m: m[1] + ASN.sub(lambda n: self._asn(n[0]), m[2]), line)
-        line = MAC.sub(lambda m: self._mac(m[1]), line)
-        line = BARE_MAC.sub(lambda m: m[1] + self._mac(m[2]), line)
-        if self.actions["emails"] == "keep":
-            for m in EMAIL.finditer(line):
-                self.renderer.kept.setdefault("email", set()).add(m[0])
-        line = EMAIL.sub(self._name("emails"), line)
-        line = IPV6.sub(self._address("ipv6"), line)
-        line = IPV4.sub(self._address("ipv4"), line)
-        for pattern, family in self.names:
-            line = pattern.sub(self._name(family), line)
+            if changed or self.present.may(p):
+                line = p.sub(lambda m: m[1] + self._asn(m[2]), line)
+        if changed or self.present.may(ASN_PATH):
+            line = ASN_PATH.sub(lambda m: m[1] + ASN.sub(lambda n: self._asn(n[0]), m[2]), line)
+        if changed or self.pairs:
+            line = MAC.sub(lambda m: self._mac(m[1]), line)
+        if changed or self.present.may(BARE_MAC):
+            line = BARE_MAC.sub(lambda m: m[1] + self._mac(m[2]), line)
+        if "@" in line:
+            if self.actions["emails"] == "keep":
+                for m in EMAIL.finditer(line):
+                    self.renderer.kept.setdefault("email", set()).add(m[0])
+            line = EMAIL.sub(self._name("emails"), line)
+        if line.count(":") > 1:
+            line = IPV6.sub(self._address("ipv6"), line)
+        if line != given or self.quads:
+            line = IPV4.sub(self._address("ipv4"), line)
+        low = line.lower() if self.names and line.isascii() else None
+        for pattern, family, value in self.names:
+            if low is None or value is None or value in low:
+                new = pattern.sub(self._name(family), line)
+                low, line = low if new == line else new.lower() if new.isascii() else None, new
         return line
 
     def _begin(self, at: int) -> None:
         self.at = at
 
     def learn(self, lines: list[str]) -> list[tuple[str, str]]:
-        self.out.identities = identities(lines)
+        self.out.identities = identities(lines, self.present)
         least = {"domains": 0, "hostnames": 2, "usernames": 2}
         found = []
         for family, shortest in least.items():
@@ -350,7 +409,7 @@ class Sanitiser:
                     if len(value) >= shortest:
                         found.append((value, family))
         found.sort(key=lambda x: -len(x[0]))
-        self.names = [(re.compile(rf"(?<![\w-]){re.escape(v)}(?![\w-])", re.I), f) for v, f in found]
+        self.names = [(re.compile(rf"(?<![\w-]){re.escape(v)}(?![\w-])", re.I), f, v.lower() if v.isascii() else None) for v, f in found]
         return found
 
     def label(self, text: str, found: list[tuple[str, str]]) -> tuple[str, dict[str, tuple[str, ...]]]:
@@ -380,9 +439,11 @@ class Sanitiser:
             clean, self.out.removed = structure.configuration_only(clean)
         lines = structure.logical_lines(clean)
         wanted = self.policy.sections[""]["vendor"]
-        self.out.vendor = vendor_of("\n".join(lines)) if wanted == "auto" else wanted
+        whole = "\n".join(lines)
+        self.look(whole)
+        self.out.vendor = vendor_of(whole, self.present) if wanted == "auto" else wanted
         found = self.learn(lines)
-        self.out.lines = rewrite_units(lines, self.rules, self._decide, "empty" if self.actions["banner"] == "keep" else "all", self.finish, self._begin)
+        self.out.lines = rewrite_units(lines, self.rules, self._decide, "empty" if self.actions["banner"] == "keep" else "all", self.finish, self._begin, self.present)
         if self.policy.sections["verify"]["enabled"]:
             self.out.findings = verify(self.out.lines, self.policy, self.seen_macs, self.seen_asns)
         r = self.renderer

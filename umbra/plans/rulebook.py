@@ -159,24 +159,37 @@ BLOCKS = [
     ("pem-key", "secrets", r"-----BEGIN [A-Z0-9 ]*(?:KEY|PARAMETERS)-----", r"-----END [A-Z0-9 ]*(?:KEY|PARAMETERS)-----", True),
     ("pem-cert", "identity", r"-----BEGIN [A-Z0-9 ]*CERTIFICATE-----", r"-----END [A-Z0-9 ]*CERTIFICATE-----", True),
 ]
+#: rule: vendor
 RULE_VENDORS = {
-    "arista": ("patch-name", "pseudowire-name", "unsupported-transceiver"),
-    "fortinet": ("fortios-interface-alias", "fortios-secret", "fortios-snmp-community", "fortios-credential-key", "fortios-encrypted", "fortios-object-name"),
-    "juniper": ("junos-community", "junos-location-body", "junos-password", "junos-type9"),
-    "mikrotik": (
-        "comment", "interface-comment", "routeros-auth-key", "routeros-object-name", "routeros-password", "routeros-peer-name",
-        "routeros-pre-shared-key", "routeros-private-key", "routeros-public-key", "routeros-secret", "routeros-snmp-community", "routeros-license-id"),
-    "huawei": (
-        "huawei-cipher", "huawei-ont-credential", "huawei-ont-desc", "huawei-ont-serial", "huawei-profile-name", "huawei-region-name",
-        "huawei-port-desc", "huawei-rack-info", "huawei-snmp-community", "huawei-snmp-engineid", "huawei-snmp-usm", "huawei-terminal-user", "huawei-traffic-table-name"),
+    "junos-community": "juniper", "routeros-license-id": "mikrotik", "fortios-encrypted": "fortinet",
+    "fortios-credential-key": "fortinet", "fortios-object-name": "fortinet", "huawei-ont-credential": "huawei",
+    "huawei-terminal-user": "huawei", "huawei-snmp-community": "huawei", "huawei-snmp-usm": "huawei",
+    "huawei-snmp-engineid": "huawei", "huawei-ont-serial": "huawei", "huawei-ont-desc": "huawei",
+    "huawei-port-desc": "huawei", "huawei-rack-info": "huawei", "huawei-profile-name": "huawei",
+    "huawei-traffic-table-name": "huawei", "huawei-region-name": "huawei", "junos-password": "juniper",
+    "fortios-secret": "fortinet", "fortios-snmp-community": "fortinet", "fortios-interface-alias": "fortinet",
+    "unsupported-transceiver": "arista", "junos-location-body": "juniper", "patch-name": "arista",
+    "pseudowire-name": "arista", "routeros-password": "mikrotik", "routeros-secret": "mikrotik",
+    "routeros-pre-shared-key": "mikrotik", "routeros-private-key": "mikrotik", "routeros-auth-key": "mikrotik",
+    "routeros-public-key": "mikrotik", "routeros-snmp-community": "mikrotik", "routeros-peer-name": "mikrotik",
+    "routeros-object-name": "mikrotik", "comment": "mikrotik", "interface-comment": "mikrotik",
+    "junos-type9": "juniper", "huawei-cipher": "huawei",
 }
 
 IPV4 = r"(?<![\w.])((?:\d{1,3}\.){3}\d{1,3})(?![\w.])"
 _H = "[0-9A-Fa-f]"
 IPV6 = (
-    rf"(?<![\w:.])((?:{_H}{{1,4}}:){{7}}{_H}{{1,4}}|(?:{_H}{{1,4}}:){{1,7}}:|(?:{_H}{{1,4}}:){{1,6}}:{_H}{{1,4}}"
-    + "".join(rf"|(?:{_H}{{1,4}}:){{1,{6 - i}}}(?::{_H}{{1,4}}){{1,{i + 1}}}" for i in range(1, 5))
-    + rf"|{_H}{{1,4}}:(?::{_H}{{1,4}}){{1,6}}|:(?:(?::{_H}{{1,4}}){{1,7}}|:))(?![\w:.])"
+    rf"(?<![\w:.])("
+    rf"(?:{_H}{{1,4}}:){{7}}{_H}{{1,4}}"
+    rf"|(?:{_H}{{1,4}}:){{1,7}}:"
+    rf"|(?:{_H}{{1,4}}:){{1,6}}:{_H}{{1,4}}"
+    rf"|(?:{_H}{{1,4}}:){{1,5}}(?::{_H}{{1,4}}){{1,2}}"
+    rf"|(?:{_H}{{1,4}}:){{1,4}}(?::{_H}{{1,4}}){{1,3}}"
+    rf"|(?:{_H}{{1,4}}:){{1,3}}(?::{_H}{{1,4}}){{1,4}}"
+    rf"|(?:{_H}{{1,4}}:){{1,2}}(?::{_H}{{1,4}}){{1,5}}"
+    rf"|{_H}{{1,4}}:(?::{_H}{{1,4}}){{1,6}}"
+    rf"|:(?:(?::{_H}{{1,4}}){{1,7}}|:))"
+    r"(?![\w:.])"
 )
 MAC = rf"(?<![\w.:-])({_H}{{4}}\.{_H}{{4}}\.{_H}{{4}}|{_H}{{4}}(?:-{_H}{{4}}){{2}}|(?:{_H}{{2}}:){{5}}{_H}{{2}}|(?:{_H}{{2}}-){{5}}{_H}{{2}})(?![\w.:-])"
 BARE_MAC = rf"(\b(?:mac-address|mac\s+address|hardware-address)\s+)({_H}{{12}})(?!{_H})"
@@ -361,7 +374,6 @@ CONFIG_COMMANDS = ("show configuration", "show configuration | display set", "sh
 ROS_WRAP = r"^(?:/[a-z][\w-]*(?:\s+[a-z][\w-]*)*\s+)?(?:add|set|remove)\s+\S.*\\$"
 OLT_WRAP = r"^\s+(?:ont(?:-(?:line|srv)profile)?|terminal|service-port|traffic|dba-profile|vlan)\s"
 OLT_STRUCTURE = r"[\[#!<]|return\s*$"
-OLT_AUTH, OLT_PROFILE = r"^\s+ont\s+(?:add|confirm)\s.*\bpassword-auth\s", r"\bont-srvprofile-id(?![-\w])"
 
 #: vendor: (pattern, weight); a hint counts once a document, ties go to the earlier vendor
 DECISIVE, STRONG, WEAK = 50, 8, 2
@@ -458,7 +470,7 @@ class Rule:
 
     @property
     def vendor(self) -> str | None:
-        return next((v for v, names in RULE_VENDORS.items() if self.name in names), None)
+        return RULE_VENDORS.get(self.name)
 
 
 def custom_rule(name: str, pattern: str, family: str = "secrets", action: str | None = None, stanza: str | None = None) -> Rule:

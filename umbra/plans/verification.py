@@ -9,6 +9,7 @@ from functools import lru_cache
 from umbra.plans import document as doc
 from umbra.plans import rulebook as book
 from umbra.plans import structure
+from umbra.plans.guards import Present
 from umbra.plans.policy import Policy
 from umbra.plans.rendering import Renderer, address_class, mask_like
 
@@ -47,7 +48,8 @@ def blanked(lines: list[str], policy: Policy) -> list[str]:
                 delimiter = None
             else:
                 masked[i] = " " * len(x)
-    return doc.rewrite_units(masked, policy.rules(), lambda n, f, v: " " * len(v) if n in blind else None, "all" if book.BANNER[0] in blind else "none")
+    hide = lambda n, f, v: " " * len(v) if n in blind else None
+    return doc.rewrite_units(masked, policy.rules(), hide, "all" if book.BANNER[0] in blind else "none", present=Present("\n".join(masked)))
 
 
 def _payload_left(lines: list[str], opening: int) -> bool:
@@ -66,6 +68,7 @@ def _payload_left(lines: list[str], opening: int) -> bool:
 def verify(lines: list[str], policy: Policy, macs: set[str] = frozenset(), asns: set[str] = frozenset()) -> list[tuple[int, str, str]]:
     """(line, check, text) of every survivor."""
     lines = structure.logical_lines(lines)
+    present = Present("\n".join(lines))
     off = set(policy.sections["verify"]["disable"])
     ignored = _ignored(tuple(policy.sections["verify"]["ignore_patterns"]))
     shapes = [(n, p, blind) for n, p, blind in _CHECKS if n not in off and n != "pem-left" and (n != "ssh-key-left" or policy.rule_action("ssh-public-key") != "keep")]
@@ -78,14 +81,14 @@ def verify(lines: list[str], policy: Policy, macs: set[str] = frozenset(), asns:
     }
     on = {n for n, w in wanted.items() if w and n not in off}
     probe = Renderer(b"umbra-verification", policy)
-    operational = doc.Operational(policy, probe, lambda *a: None)
+    operational = doc.Operational(policy, probe, lambda *a: None, present)
     again = [operational.line(x) for x in lines] if "operational-name-left" in on else lines
 
     def located(name: str, family: str, value: str) -> str | None:
         return "<LOCATION-PROBE>" if family == "locations" and policy.rule_action(name) != "keep" and not probe.own(name, value) else None
 
     # only located values change and none of them spans lines, so this view stays aligned
-    places = doc.rewrite_units(lines, policy.rules(), located, "none") if "location-left" in on else lines
+    places = doc.rewrite_units(lines, policy.rules(), located, "none", present=present) if "location-left" in on else lines
 
     def address_left(text: str, version: int) -> bool:
         try:
@@ -105,23 +108,29 @@ def verify(lines: list[str], policy: Policy, macs: set[str] = frozenset(), asns:
     out: list[tuple[int, str, str]] = []
     section: tuple[str, ...] = ()
     config = structure.ConfigStack()
+    scoped, ignoring, likely = present.may(_COMMUNITY), present.may(ignored), [s for s in shapes if present.may(s[1])]
+    quads, pairs = (bool(p.search(x)) for p, x in ((doc._QUAD_HINT, "\n".join(lines)), (doc._MAC_HINT, "\n".join(lines))))
+    bare = present.may(doc.BARE_MAC)
+    keyed = [p for p in pem if present.may(p)]
     for i, (line, view) in enumerate(zip(lines, blanked(lines, policy), strict=True)):
-        section = structure.section_of(line, section)
-        inside = (*section, *config.scopes())
-        config.feed(line)
         found: list[str] = []
-        m = _COMMUNITY.search(line) if "snmp-community" in inside and "credential-left" not in off else None
-        if m and not _COMMUNITY_DONE.fullmatch(m[1]):
-            found.append("credential-left")
-        plain, shaped = ignored.sub(" ", line), ignored.sub(" ", view)
-        found += [n for n, p, blind in shapes if p.search(shaped if blind else plain)]
-        if any(p.search(shaped) for p in pem) and _payload_left(lines, i):
+        if scoped:
+            section = structure.section_of(line, section)
+            inside = (*section, *config.scopes())
+            config.feed(line)
+            m = _COMMUNITY.search(line) if "snmp-community" in inside and "credential-left" not in off else None
+            if m and not _COMMUNITY_DONE.fullmatch(m[1]):
+                found.append("credential-left")
+        plain, shaped = (ignored.sub(" ", line), ignored.sub(" ", view)) if ignoring else (line, view)
+        same = plain is line and view == line or plain == line and shaped == line  # else blanks can bring forth what the line didn't hold
+        found += [n for n, p, blind in (likely if same else shapes) if p.search(shaped if blind else plain)]
+        if any(p.search(shaped) for p in (keyed if same else pem)) and _payload_left(lines, i):
             found.append("pem-left")
         tests = {
-            "email-left": lambda: any(m[0].lower() != book.CONSTANTS["emails"] for m in doc.EMAIL.finditer(plain)),  # noqa: B023
-            "ipv4-left": lambda: any(address_left(m[1], 4) for m in doc.IPV4.finditer(line)),  # noqa: B023
-            "ipv6-left": lambda: any(address_left(m[1], 6) for m in doc.IPV6.finditer(line)),  # noqa: B023
-            "mac-left": lambda: any(v.lower() not in macs for v in [m[1] for m in doc.MAC.finditer(line)] + [m[2] for m in doc.BARE_MAC.finditer(line)]),  # noqa: B023
+            "email-left": lambda: "@" in plain and any(m[0].lower() != book.CONSTANTS["emails"] for m in doc.EMAIL.finditer(plain)),  # noqa: B023
+            "ipv4-left": lambda: quads and any(address_left(m[1], 4) for m in doc.IPV4.finditer(line)),  # noqa: B023
+            "ipv6-left": lambda: line.count(":") > 1 and any(address_left(m[1], 6) for m in doc.IPV6.finditer(line)),  # noqa: B023
+            "mac-left": lambda: (pairs or bare) and any(v.lower() not in macs for v in [m[1] for m in doc.MAC.finditer(line)] + [m[2] for m in doc.BARE_MAC.finditer(line)]),  # noqa: B023
             "operational-name-left": lambda: again[i] != line,  # noqa: B023
             "as-number-left": lambda: any(v.lower() not in asns and v not in book.ASN_QUIET for v in doc.asn_values(line)),  # noqa: B023
             "location-left": lambda: places[i] != line,  # noqa: B023

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from umbra.operators import corpus, identities, reports
 from umbra.plans.policy import Policy
-from umbra.queries.base import SALT, concat, duck_tag, register, table
+from umbra.queries.addresses import duck_mod
+from umbra.queries.base import SALT, concat, duck_hmac, duck_tag, register, table
 from umbra.queries.cases import case
 
 NAMES = {"v": "concat('core-rtr-', c_custkey)", "n": "concat('netop', c_custkey)", "d": "concat('corp', c_custkey, '.example.org')"}
@@ -25,6 +26,12 @@ case("email_pseudo", "! mail {n}@{d}\n", "! mail user-{w}@example.com\n", {"poli
 case("asn_path_prepend", "router bgp 23456\n set as-path prepend 70{k} 23456 70{k}\n", "router bgp 23456\n set as-path prepend <ASN-{w}> 23456 <ASN-{w}>\n",
      {"as-numbers": {"default": "hash"}}, {"k": "c_custkey % 100"}, {"w": duck_tag("asn", "concat('70', c_custkey % 100)")}, 2)
 case("mac_bare_context", "mac-address {h}\nnote {h}\n", "mac-address 00005e000000\nnote {h}\n", {"macs": {"oui": "redact", "nic": "redact"}}, {"h": "concat('0a1b2c', lpad(CAST(c_custkey AS STRING), 6, '0'))"}, {}, 1)
+NET6 = "concat('2a00:', 1 + c_custkey % 9998, '::')"
+SLOT6 = duck_mod(duck_hmac("v6net", NET6), 1 << 32)
+case("ipv6_hash", "ipv6 address 2a00:{k}::1/64\nipv6 host ::1\n", "ipv6 address {w}/64\nipv6 host ::1\n", {"ipv6": {"other_unicast": "hash"}}, {"k": "1 + c_custkey % 9998"},
+     {"w": f"concat('<IP6-', {duck_tag('ip6', concat('2a00:{k}::1', {'k': '1 + c_custkey % 9998'}))}, '>')"}, 1)
+case("ipv6_pseudo", "ipv6 address 2a00:{k}::1/64\nipv6 host 2a00:{k}::abc\n", "ipv6 address {w}1/64\nipv6 host {w}abc\n", {"ipv6": {"other_unicast": "pseudo"}}, {"k": "1 + c_custkey % 9998"},
+     {"w": f"concat('2001:db8:', lower(to_hex({SLOT6} // 65536)), CASE WHEN {SLOT6} % 65536 = 0 THEN '' ELSE ':' || lower(to_hex({SLOT6} % 65536)) END, '::')"}, 2)
 case("ipv6_redact", "ipv6 address 2a00:{k}::1/64\nipv6 host ::1\n", "ipv6 address 2001:db8::/64\nipv6 host ::1\n", {"ipv6": {"other_unicast": "redact"}}, {"k": "1 + c_custkey % 9998"}, {}, 1)
 
 
@@ -89,10 +96,20 @@ def identity_native(spark, sf_dir):
     return identities.declared(table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text")), "c_custkey")
 
 
-@register("fleet_networks", "SELECT concat('10.', c_custkey // 256, '.', c_custkey % 256, '.0') AS original FROM customer")
+FLEET = "concat('10.', c_custkey // 256, '.', c_custkey % 256, '.0')"
+
+
+@register("fleet_networks", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c_custkey) AS i, {FLEET} AS original, {duck_mod(duck_hmac('v4net', FLEET), 16896)} AS seed FROM customer),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS original, CAST(NULL AS BIGINT) AS slot, CAST([] AS BIGINT[]) AS taken
+  UNION ALL SELECT i, original, slot, list_append(taken, slot) FROM (
+    SELECT v.i, v.original, CAST(list_filter(list_transform(range(0, 16), lambda j: (v.seed + j) % 16896), lambda x: NOT list_contains(w.taken, x))[1] AS BIGINT) AS slot, w.taken
+    FROM walk w JOIN v ON v.i = w.i + 1) t),
+p AS (SELECT original, CASE WHEN slot < 512 THEN 3323068416 + slot * 256 ELSE 1681915904 + (slot - 512) * 256 END AS net FROM walk WHERE i > 0)
+SELECT original, concat(net // 16777216, '.', (net // 65536) % 256, '.', (net // 256) % 256, '.0') AS pseudonym FROM p""")
 def fleet_networks(spark, sf_dir):
+    """Every network of a fleet, in first-come order, against probing one after another."""
     text = F.expr("concat('ip route 10.', c_custkey div 256, '.', c_custkey % 256, '.9 255.255.255.0')")
-    return identities.fleet_networks(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), SALT, "c_custkey").select("original")
+    return identities.fleet_networks(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), SALT, "c_custkey")
 
 
 @register("sql_table_function", "SELECT c_custkey, 1 AS line_no, 'enable secret <REMOVED>' AS line FROM customer")

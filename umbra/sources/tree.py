@@ -2,8 +2,8 @@
 
 The source reads whole files as bytes through Spark, so any store that it knows will do; Spark's listing leaves out names
 that begin with a dot or an underscore. A file is refused, with a reason, if a name on its way is hidden, if it holds a NUL byte, a PEM header or bytes that are no UTF-8.
-The sink writes each document where its path leads under another folder, through Hadoop's file systems from the
-executors: to a temporary name first, so that a repeated task leaves whole files only.
+The sink writes each document from the executors to a local or mounted path under another folder: to a temporary name
+first, so that a repeated task leaves whole files only.
 """
 
 from __future__ import annotations
