@@ -173,6 +173,35 @@ def test_jaccard_matches_brute_force(spark, docs, odd):
     assert kept == set(got.values())
 
 
+def test_jaccard_contract_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, shingles(r.text, 4)) for r in docs.collect()]
+    label = {d: d for d, _ in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    rows.sort(key=lambda r: len(r[1]))
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if 100 * len(x) < 85 * len(y):
+                break
+            both = len(x & y)
+            if both and 100 * both >= 85 * (len(x) + len(y) - both) and find(a) != find(b):
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, k=4, percent=85).collect()}
+    assert got == {(d, len(x), find(d)) for d, x in rows}
+
+
+def test_texts_of_one_doc_id_are_one_node(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (2, None), (4, "alone " + b[:40])]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4, percent=85).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_jaccard_odd(odd):
     rows = jaccard_components(odd, k=4, percent=85).collect()
     want = brute_components([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None], 4, 85)

@@ -40,3 +40,11 @@ def test_language_fills_what_is_missing(spark):
     left = corpus_pipeline.language(spark, unlabelled, "").collect()
     assert {r.doc_id for r in left} == {r[0] for r in rows} - {203} and {r.lang for r in left} == {None}
     assert corpus_pipeline.language(spark, docs, "").columns == docs.columns
+
+
+def test_language_leaves_columns_of_its_names_alone(spark):
+    rows = [(3 * i, "the house and the street " * 3, "en", f"own {i}", i / 7) for i in range(8)] + [(None, "the house", None, "own", 0.25), (3, "the house", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score double")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.lang_pred, r.score) for r in got.collect()), key=str) == sorted(((r[0], r[3], r[4]) for r in rows), key=str)
