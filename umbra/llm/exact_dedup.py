@@ -32,7 +32,9 @@ STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many small stores
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # all stores of an executor share one bound
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",  # what a store sets aside goes by this
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of ended runs are closed this often
 }
 FOUND = f"{PLACE} {PLACE_TYPE}, doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string"
 
