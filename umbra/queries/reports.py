@@ -9,6 +9,7 @@ from umbra.plans import rulebook as book
 from umbra.plans.policy import Policy
 from umbra.queries.addresses import duck_mod
 from umbra.queries.base import SALT, concat, duck_hmac, register, table
+from umbra.sources import tree
 
 BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 DUCK_LINES = f"ls AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{BREAKS}')) AS line FROM documents)"
@@ -161,3 +162,16 @@ def sanitise_documents(spark, sf_dir):
     policy = Policy({"policy": dict.fromkeys(book.NAME_FAMILIES, "hash"), "ipv4": {"default": "pseudo"}, "ipv6": {"default": "redact"}, "macs": {"oui": "redact", "nic": "pseudo"}})
     out = corpus.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), policy, SALT)
     return out.select("doc_id", "vendor", F.size("lines").alias("lines"), F.size("hits").alias("hits"), F.size("findings").alias("findings"), F.size("mapping").alias("mapped"))
+
+
+@register("tree_destinations", "SELECT c_custkey, concat('file:/out/site', c_custkey % 7, '/r', c_custkey, '.clean', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '.cfg' END) AS dest FROM customer")
+def tree_destinations(spark, sf_dir):
+    """Files with and without an extension, written under another folder with a suffix."""
+    path = F.expr("concat('file:/in/site', c_custkey % 7, '/r', c_custkey, if(c_custkey % 3 = 0, '', '.cfg'))")
+    return table(spark, sf_dir, "customer").select("c_custkey", tree.destination(path, "file:/in", "file:/out", ".clean").alias("dest"))
+
+
+@register("tree_collisions", "SELECT concat('/out/', c_custkey // 2) AS dest, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) > 1")
+def tree_collisions(spark, sf_dir):
+    """Pairs of files that one name would hold."""
+    return tree.collisions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.expr("concat('/out/', c_custkey div 2)").alias("dest")))

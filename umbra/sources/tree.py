@@ -45,7 +45,8 @@ def destination(path: Column, root: str, out: str | None, suffix: str = "", repl
     if replace:
         return path
     relative = F.regexp_replace(path, "^" + _quoted(root.rstrip("/")) + "/*", "")
-    relative = F.regexp_replace(relative, r"(\.[^./]*)?$", suffix.replace("$", "") + "$1") if suffix else relative
+    quoted = suffix.replace("\\", "\\\\").replace("$", "\\$")
+    relative = F.regexp_replace(relative, r"(?s)^(.*?)(\.[^./]*)?\z", "$1" + quoted + "$2") if suffix else relative
     return F.concat(F.lit((out or root).rstrip("/") + "/"), relative)
 
 
