@@ -44,6 +44,8 @@ from umbra.llm.runtime import HOT, Scratch, cut, keyed_join, lean
 from umbra.llm.textops import mix, shingle_sets, texts_of
 
 SKETCH_BITS, RANGES = 22, 64
+#: A task counts about so many shingles at once.
+HELD = 1 << 17
 #: Bins of a set's outline, which counts its shingles by their last byte.
 BINS = 256
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -54,6 +56,12 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _tally(total: np.ndarray, held: list[np.ndarray]) -> None:
+    """Counts slots where they lie in `total`: what this needs goes by the slots held, not by the sketch."""
+    at, n = np.unique(np.concatenate(held), return_counts=True)
+    total[at] += n.astype(np.uint32)
+
+
 def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
     """Rank classes by the number of documents of each slot, over all documents; and what a rare shingle's slot holds.
 
@@ -68,13 +76,13 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
         for batch in batches:
             held, size = [], 0
             for s in shingle_sets(texts_of(batch.column(0)), k):
-                held.append((s >> shift).astype(np.int64))
+                held.append((s >> shift).astype(np.uint32))
                 size += len(s)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+                if size > HELD:
+                    _tally(total, held)
                     held, size = [], 0
             if held:
-                total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+                _tally(total, held)
         for i in range(RANGES):
             part = total[i * width : (i + 1) * width]
             if part.any():

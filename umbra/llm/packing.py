@@ -15,6 +15,7 @@ cut at multiples of the limit, so each token lies in exactly one piece. A null r
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int = TOK
 
     ship(docs.sparkSession)
 
-    @lean
+    @functools.partial(lean, keeps=coder.__module__)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(vocabulary)
         for batch in batches:

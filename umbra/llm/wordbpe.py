@@ -16,6 +16,7 @@ import os
 import numpy as np
 import regex
 
+from umbra.llm.runtime import CACHES, release
 from umbra.llm.textops import word_hashes, word_spans
 
 LONGEST, CHUNKS = 32, 1 << 19
@@ -184,8 +185,13 @@ class WordBpe:
 
 @functools.lru_cache(1)
 def coder(path: str) -> WordBpe:
-    """The worker's one encoder, which its tasks share."""
-    return WordBpe(path)
+    """The worker's one encoder, which its tasks share; what reading its file took goes back to the system."""
+    own = WordBpe(path)
+    release()
+    return own
+
+
+CACHES[__name__] = coder.cache_clear
 
 
 def gather(pool: np.ndarray, where: np.ndarray, size: np.ndarray) -> np.ndarray:
