@@ -1,8 +1,9 @@
 """Sanitising a corpus: documents in, relations of lines, hits, findings, identities and mappings out.
 
-A document is the unit of work: each is folded by itself inside Arrow batches, so nothing is shuffled and a lost task
-repeats to the same rows (the salt is given). The folded rows hold all relations nested; the functions below unfold
-one each, and column pruning keeps the rest from being read where the folded table is written.
+A document is the unit of work: each is folded by itself inside Arrow batches, so a lost task repeats to the same rows
+(the salt is given). Documents are dealt out first, as a scan gives all rows of a row group to one task and folding costs
+far more than moving them. The folded rows hold all relations nested; the functions below unfold one each, and column
+pruning keeps the rest from being read where the folded table is written.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.plans.document import Sanitiser
+from umbra.plans.document import Prepared, Sanitiser
 from umbra.plans.policy import Policy
 from umbra.plans.verification import verify
 
@@ -38,10 +39,27 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
 
 
-def fold(text: str | None, labels: list | None, policy: Policy, salt: bytes) -> dict:
+#: documents that are folded before their rows are handed on
+AT_ONCE = 256
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The rows dealt out to several tasks a core, by a hash of what they hold, so repeating a task gives the same rows."""
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return docs.repartition(tasks, *[F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))])
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
+def fold(text: str | None, labels: list | None, policy: Policy, salt: bytes, prepared: Prepared | None = None) -> dict:
     """One document's row; a document that can't be finished gives its error and no lines."""
     try:
-        o = Sanitiser(policy, salt).run(text or "", dict(labels or []))
+        o = Sanitiser(policy, salt, prepared=prepared).run(text or "", dict(labels or []))
     except ValueError as e:
         return {"error": str(e)}
     return {
@@ -71,12 +89,13 @@ def sanitise(docs: DataFrame, policy: Policy | None = None, salt: bytes = b"", t
     arrow = to_arrow_schema(folded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = [fold(t, m, policy, salt) for t, m in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)]
+        prepared = Prepared(policy)
+        for batch in in_parts(batches):
+            table = [fold(t, m, policy, salt, prepared) for t, m in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)]
             columns = [pa.array([r.get(f.name) for r in table], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *arrow.names])
 
-    return rows.mapInArrow(run, schema)
+    return (rows if docs.isStreaming else spread(rows)).mapInArrow(run, schema)
 
 
 def survivors(docs: DataFrame, policy: Policy | None = None, text: str = "text") -> DataFrame:
@@ -93,11 +112,12 @@ def survivors(docs: DataFrame, policy: Policy | None = None, text: str = "text")
     kind = to_arrow_type(schema["umbra_found"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [[{"line": n, "check": c, "text": t} for n, c, t in verify((x or "").splitlines(), policy)] for x in batch.column(len(kept)).to_pylist()]
+        prepared = Prepared(policy)
+        for batch in in_parts(batches):
+            seen = [[{"line": n, "check": c, "text": t} for n, c, t in verify((x or "").splitlines(), policy, prepared=prepared)] for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(seen, kind)], names=[*kept, "umbra_found"])
 
-    return rows.mapInArrow(run, schema).select(*kept, F.explode("umbra_found").alias("x")).select(*kept, "x.*")
+    return (rows if docs.isStreaming else spread(rows)).mapInArrow(run, schema).select(*kept, F.explode("umbra_found").alias("x")).select(*kept, "x.*")
 
 
 def _unfold(folded: DataFrame, array: str, keys: list[str]) -> DataFrame:
