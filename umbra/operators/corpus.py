@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from umbra.operators.lines import spread
 from umbra.plans.document import Prepared, Sanitiser
 from umbra.plans.policy import Policy
 from umbra.plans.verification import verify
@@ -43,13 +44,6 @@ def importable(spark: SparkSession) -> None:
 AT_ONCE = 256
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """The rows dealt out to several tasks a core, by a hash of what they hold, so repeating a task gives the same rows."""
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return docs.repartition(tasks, *[F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))])
-
-
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, AT_ONCE):

@@ -17,28 +17,31 @@ from pyspark.sql import Window as W
 
 from umbra.functions import addresses as A
 from umbra.functions.rewrite import java
-from umbra.operators.lines import explode_lines
+from umbra.operators.lines import explode_lines, spread
 from umbra.plans import rulebook as book
 from umbra.plans.rendering import SpaceExhausted
 
 
-def _named(family: str, order: int):
-    return lambda v: F.struct(F.lit(family).alias("family"), F.trim(v, F.lit('";[]' if family == "domains" else '";')).alias("value"), F.lit(order).alias("order"))
+def _named(family: str):
+    return lambda v: F.struct(F.lit(family).alias("family"), F.trim(v, F.lit('";[]' if family == "domains" else '";')).alias("value"))
 
 
 def declared(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """keys, family, value, first_line: names that unscoped declarations give, each once a document without regard to case."""
-    lines = explode_lines(docs, *keys, text=text)
+    """keys, family, value, first_line: names that unscoped declarations give, each once a document without regard to case.
+
+    Texts are dealt out by their keys, so all that follows stays in place and sorts no more rows than its share.
+    """
+    lines = explode_lines(spread(docs.select(*keys, text), *keys), *keys, text=text)
     found = []
-    for order, (family, pattern) in enumerate(book.COLLECTORS):
+    for (family, pattern) in book.COLLECTORS:
         raw = F.regexp_extract("line", java(pattern), 1)
         parts = F.filter(F.split(raw, r"[,\s]+"), lambda x: x != "") if family == "domains" else F.when(raw != "", F.array(raw)).otherwise(F.array().cast("array<string>"))
-        found.append(F.transform(parts, _named(family, order)))
+        found.append(F.transform(parts, _named(family)))
     emails = F.regexp_extract_all("line", F.lit("(?U)" + book.EMAIL), F.lit(0))
-    found.append(F.transform(emails, lambda v: F.struct(F.lit("emails").alias("family"), v.alias("value"), F.lit(98).alias("order"))))
-    found.append(F.transform(emails, lambda v: F.struct(F.lit("domains").alias("family"), F.substring_index(v, "@", -1).alias("value"), F.lit(99).alias("order"))))
-    rows = lines.select(*keys, "line_no", F.explode(F.concat(*found)).alias("x")).select(*keys, "line_no", "x.*").where("value <> ''")
-    first = W.partitionBy(*keys, "family", F.lower("value")).orderBy("line_no", "order")
+    found.append(F.transform(emails, lambda v: F.struct(F.lit("emails").alias("family"), v.alias("value"))))
+    found.append(F.transform(emails, lambda v: F.struct(F.lit("domains").alias("family"), F.substring_index(v, "@", -1).alias("value"))))
+    rows = lines.select(*keys, "line_no", F.posexplode(F.concat(*found)).alias("at", "x")).select(*keys, "line_no", "at", "x.*").where("value <> ''")
+    first = W.partitionBy(*keys, "family", F.lower("value")).orderBy("line_no", "at")
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*keys, "family", "value", F.col("line_no").alias("first_line"))
 
 

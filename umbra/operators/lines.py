@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from umbra.functions.rewrite import java
@@ -12,6 +13,17 @@ from umbra.plans import rulebook as book
 BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out to several tasks a core, by a hash of some columns (or of all that have one), so repeating a task gives the same rows.
+
+    A scan gives all rows of a row group to one task; AQE joins parts of a shuffle by their compressed size, but not these.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    whole = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    return rows.repartition(tasks, *[F.col(c) for c in by or whole])
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text as an array: all line separators, no empty element after the last one."""
     parts = F.split(F.coalesce(text, F.lit("")), BREAKS, -1)
