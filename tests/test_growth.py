@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from umbra.catalogue import QUERIES
-from umbra.operators import identities
+from umbra.operators import identities, reports
+from umbra.plans import rulebook as book
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +26,21 @@ def test_the_first_spelling_in_a_line_wins(spark):
     got = {(r.id, r.family, r.value) for r in identities.declared(docs, "id").collect()}
     assert {x for x in got if x[1] == "domains"} == {(1, "domains", "B.test"), (1, "domains", "a.test"), (2, "domains", "A.test")}
     assert (1, "hostnames", "x") in got
+
+
+def test_line_checks_run_on_all_cores(spark):
+    assert QUERIES["verify_line_checks"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+LINES = [
+    "password hunter2", "PASSWORD hunter2", "paſſword hunter2", "no service password-encryption", "secret-data", "key 7 0A1B2C3D", "set community x", "x $9$ab", "$6$ab", "ssh-rsa " + "A" * 20,
+    "a" * 24, "a" * 23, "A1" * 20, "config set secret x", "/user add password=x", "community 1:2 password y", "terminal user name root pw *x", "<SECRET-0a1b2c>", "", "plain words", "auth" + "/* SECRET-DATA */" + "x",
+]
+
+
+def test_line_checks_are_those_of_the_patterns(spark):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*LINES, None])], "i int, line string")
+    got = {r.i: r.c for r in rows.select("i", reports.line_checks(rows.line).alias("c")).collect()}
+    ignored = re.compile("|".join(book.IGNORED), re.I)
+    want = {i: [n for n, p, _ in book.CHECKS if n != "pem-left" and re.search(p, ignored.sub(" ", x))] for i, x in enumerate(LINES)} | {len(LINES): []}
+    assert got == want

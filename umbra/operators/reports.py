@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from umbra.functions.rewrite import java
+from umbra.functions.rewrite import java, let
 from umbra.plans import rulebook as book
 from umbra.plans.guards import ODD, needs
 from umbra.plans.policy import Policy
@@ -35,11 +36,29 @@ def vendor(text: Column) -> Column:
     return F.when(best["score"] > 0, best["vendor"]).otherwise("unknown")
 
 
+def _held(low: Column, wanted: frozenset[str] | None) -> Column:
+    """Whether lower-case text holds one of the literals; true where the text is null and where literals tell nothing."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in sorted(wanted)]), F.lit(True)) if wanted else F.lit(True)
+
+
 def line_checks(line: Column) -> Column:
-    """Names of the always-on checks that a line fails, before any masking; ignored spans are blanked first."""
-    plain = F.regexp_replace(line, "(?iU)" + "|".join(book.IGNORED), " ")
-    found = [F.when(plain.rlike("(?U)" + p), n) for n, p, _ in book.CHECKS if n != "pem-left"]
-    return F.array_compact(F.array(*found))
+    """Names of the always-on checks that a line fails, before any masking; ignored spans are blanked first.
+
+    The blanked line is bound once. A check is tried only on lines that hold one of its literals (blanks bring forth none
+    without a space), and that are as long as its shortest match.
+    """
+    ignored = "|".join(book.IGNORED)
+
+    def failed(low: Column, plain: Column, name: str, pattern: str) -> Column:
+        wanted, least = needs(re.compile(pattern)), parser.parse(pattern).getwidth()[0]
+        wanted = None if wanted and any(" " in x for x in wanted) else wanted
+        return F.when((F.length(plain) >= least) & _held(low, wanted) & plain.rlike("(?U)" + pattern), name)
+
+    def checked(low: Column) -> Column:
+        plain = F.when(_held(low, needs(re.compile(ignored, re.I))), F.regexp_replace(line, "(?iU)" + ignored, " ")).otherwise(line)
+        return let(plain, lambda x: F.array(*[failed(low, x, n, p) for n, p, _ in book.CHECKS if n != "pem-left"]))
+
+    return F.array_compact(let(F.when(~line.rlike(f"[{ODD}]"), F.lower(line)), checked))
 
 
 def top_findings(findings: DataFrame, *keys: str, k: int = 5) -> DataFrame:

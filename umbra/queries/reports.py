@@ -54,7 +54,7 @@ SURVIVORS = [
 def verify_line_checks(spark, sf_dir):
     values = K | {"m": "concat('$6$x', c_custkey)"}
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.expr(concat(t, values, True)).alias("line")) for i, (t, _) in enumerate(SURVIVORS)]))
-    return table(spark, sf_dir, "customer").select("c_custkey", rows.alias("x")).select("c_custkey", "x.kind", F.array_join(reports.line_checks(F.col("x.line")), ",").alias("checks"))
+    return lines.spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", rows.alias("x")).select("c_custkey", "x.kind", F.array_join(reports.line_checks(F.col("x.line")), ",").alias("checks"))
 
 
 def folded(spark, sf_dir, template: str, policy: dict):
