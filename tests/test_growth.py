@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from umbra.catalogue import QUERIES
 from umbra.operators import identities, reports
 from umbra.plans import rulebook as book
@@ -11,10 +13,26 @@ from umbra.plans import rulebook as book
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def unbroadcast(spark):
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    yield spark
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(key)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_references_move_once_a_name_and_stay_after_the_join(unbroadcast):
+    above, join, below = plan(QUERIES["op_reference_agreement"](unbroadcast, SF)).partition("SortMergeJoin")
+    assert join
+    assert "Exchange" not in above
+    assert below.count("Exchange") == 3  # references by name, then both sides by tag
+
+
 def test_declared_names_stay_where_their_texts_were_dealt(spark):
     text = plan(QUERIES["identity_native"](spark, SF))
     assert text.count("Exchange") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from umbra.operators import corpus, identities, reports
@@ -74,11 +75,16 @@ def labels_rewrite(spark, sf_dir):
 
 @register("op_reference_agreement", """SELECT l.l_orderkey, count(*) AS refs, count(DISTINCT o.o_orderkey) AS declared FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey""")
 def op_reference_agreement(spark, sf_dir):
-    from umbra.functions.digests import tag
+    """References are counted by name before they are tagged; a name's tag then goes with it, so its group stays where the join put it."""
+    from umbra.functions.digests import keyed
 
-    declared = table(spark, sf_dir, "orders").select(tag(SALT, "route-map", F.concat(F.lit("rm"), "o_orderkey"), 64).alias("tag"), "o_orderkey")
-    refs = table(spark, sf_dir, "lineitem").select(tag(SALT, "route-map", F.concat(F.lit("rm"), "l_orderkey"), 64).alias("tag"), "l_orderkey")
-    return refs.join(declared, "tag").groupBy("l_orderkey").agg(F.count("*").alias("refs"), F.countDistinct("o_orderkey").alias("declared"))
+    def tagged(key: str) -> Column:
+        return F.unhex(keyed(SALT, "route-map", F.concat(F.lit("rm"), key))).alias("tag")
+
+    declared = table(spark, sf_dir, "orders").select(tagged("o_orderkey"), "o_orderkey")
+    refs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).select(tagged("l_orderkey"), "l_orderkey", "n")
+    both = refs.join(declared, "tag").groupBy("tag", "l_orderkey").agg(F.sum("n").alias("refs"), F.countDistinct("o_orderkey").alias("declared"))
+    return both.select("l_orderkey", "refs", "declared")
 
 
 @register("op_dangling_references", "SELECT l_orderkey AS doc, concat('RM', l_partkey) AS name, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> l_orderkey % 5 GROUP BY 1, 2")
