@@ -67,3 +67,38 @@ def test_groups_pick_in_order_and_stay_bounded(monkeypatch):
     for text in ("ab", "cd", "gh", "ab gh", "ab cd"):
         group.likely(text)
         assert len(group.picked) <= 2
+
+
+@pytest.mark.parametrize("text", ["x" * 500, "plain é words " * 60, "set Password K ſecret \ud800 host-name " * 40, "-----BEGIN ssh-rsa $9$ %#%# router bgp 1 as-path interface" * 9, "ab", "a"])
+def test_literals_of_long_texts_are_those_that_it_holds(text, monkeypatch):
+    low = text.lower()
+    found = {x for x in guards.LITERALS.known if x in low}
+    assert guards.LITERALS.held(low) == found
+    monkeypatch.setattr(guards.Literals, "LONG", 0)
+    assert guards.LITERALS.held(low) == found
+
+
+@pytest.mark.parametrize("line", ["sw1 Sw1-x x-sw1 _sw1 sw1_ (SW1) sw1sw1 sw1.sw1", "sw1", "xsw1", "é sw1 ésw1", "sw1 sw1"])
+def test_names_are_replaced_where_they_stand_by_themselves(line):
+    o = sanitise_text(f"hostname sw1\n! {line}\n", Policy({"policy": {"hostnames": "redact"}}), SALT)
+    want, n = re.subn(r"(?<![\w-])sw1(?![\w-])", "redacted", line, flags=re.I)
+    assert o.lines[1] == f"! {want}"
+    assert o.counts["hostnames"] == n + 1
+
+
+def test_ignored_spans_of_a_text_are_all_that_it_can_hold():
+    from umbra.plans import rulebook as book
+    from umbra.plans import verification
+
+    whole = re.compile("|".join(book.IGNORED), re.I)
+    for text in [*TEXTS, "<SECRET-0a1b2c> no service password-encryption", "/user add x\nconfig set y\ncommunity 1:2 key chain KEY-CHAIN secretdata"]:
+        pattern = verification._ignored(guards.Present(text).among(verification._IGNORED), ())
+        for line in text.splitlines():
+            assert (pattern.sub(" ", line) if pattern else line) == whole.sub(" ", line)
+
+
+def test_a_changed_line_meets_only_the_rules_that_it_can_match():
+    group = Prepared(Policy()).rules
+    line, decide = "enable secret 5 $1$ab$cd", lambda name, family, value: "<REMOVED>"
+    assert document.rewrite(line, frozenset(), group.items, decide) == document.rewrite(line, frozenset(), guards.Present(line).among(group), decide, group)
+    assert len(group.after(guards.Present("enable secret 5 <REMOVED>"), group.items[0])) < 20
